@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from spindrift.llm.packing import op5_best_fit_packing
 from spindrift.llm.token_counts import op7_token_counts
 
 
 def queries() -> dict:
-    return {"op7_token_counts": op7_token_counts}
+    return {
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_token_counts": op7_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
