@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spindrift.llm.packing import op5_best_fit_packing
+from spindrift.llm.simhash import op9_simhash
 from spindrift.llm.token_counts import op7_token_counts
 
 
@@ -10,6 +11,7 @@ def queries() -> dict:
     return {
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_token_counts": op7_token_counts,
+        "op9_simhash": op9_simhash,
     }
 
 
