@@ -160,8 +160,8 @@ def links(classes: DataFrame, threshold: int = 3, cell: int = 1024) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, fp, home), starts in groups(batches, 3):
-            a, b = [], []
+        for (_, _, _, signed, home), starts in groups(batches, 3):
+            fp, a, b = signed.view(np.uint64), [], []  # numpy counts the bits of a signed number's absolute value
             sizes = np.diff(starts)
             for at in np.flatnonzero(sizes > 32):
                 own = fp[starts[at] : starts[at + 1]]
@@ -178,7 +178,7 @@ def links(classes: DataFrame, threshold: int = 3, cell: int = 1024) -> DataFrame
                 a.append(fp[i])
                 b.append(fp[i + d])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     replicas = classes.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
     by = ["anchor", "cell_lo", "cell_hi"]
