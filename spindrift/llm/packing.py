@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.seen = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.cache, self.seen, self.before = Tokenizer.from_file(path), cache, {}, {}
         self.fine = re.compile(f"[{LETTERS}]+|[^{BLANKS}{LETTERS}]+").findall
         self.specials = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "$^")
 
@@ -61,17 +62,19 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [self.parts(t) for t in texts]
         if len(self.seen) > self.cache:
-            self.seen.clear()
-        new = sorted(set().union(*parts).difference(self.seen)) if parts else []
+            self.seen, self.before = {}, self.seen
+        new = list(set().union(*parts).difference(self.seen))
+        if self.before:  # of the words kept before, those still in use move on
+            self.seen.update((w, self.before[w]) for w in new if w in self.before)
+            new = [w for w in new if w not in self.before]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[word] = np.array(got.ids, "<u4").tobytes()
+            self.seen.update((w, array("I", got.ids).tobytes()) for w, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
         get = self.seen.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache: int = 300_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache: int = 600_000) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 (and ids, if asked for): the ids of each row's text, then `end_id`, in pieces of at most `capacity`.
 
     Only longer sequences are cut; the last piece of one may be shorter. A null or empty text is the end id alone. Repeated rows and null
