@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spindrift.llm.ngram_lm import op4_ngram_trie
 from spindrift.llm.packing import op5_best_fit_packing
 from spindrift.llm.simhash import op9_simhash
 from spindrift.llm.token_counts import op7_token_counts
@@ -9,6 +10,7 @@ from spindrift.llm.token_counts import op7_token_counts
 
 def queries() -> dict:
     return {
+        "op4_ngram_trie": op4_ngram_trie,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_token_counts": op7_token_counts,
         "op9_simhash": op9_simhash,
