@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from spindrift.llm.ngram_lm import op4_ngram_trie
 from spindrift.llm.packing import op5_best_fit_packing
+from spindrift.llm.quality_rules import OP2_SQL, op2_host_quality
 from spindrift.llm.simhash import op9_simhash
 from spindrift.llm.token_counts import op7_token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_host_quality": op2_host_quality,
         "op4_ngram_trie": op4_ngram_trie,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_token_counts": op7_token_counts,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_host_quality": OP2_SQL}
