@@ -7,6 +7,7 @@ from spindrift.llm.packing import op5_best_fit_packing
 from spindrift.llm.quality_rules import OP2_SQL, op2_host_quality
 from spindrift.llm.simhash import op9_simhash
 from spindrift.llm.token_counts import op7_token_counts
+from spindrift.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict:
@@ -14,10 +15,11 @@ def queries() -> dict:
         "op2_host_quality": op2_host_quality,
         "op4_ngram_trie": op4_ngram_trie,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_warc": op6_warc,
         "op7_token_counts": op7_token_counts,
         "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": OP2_SQL}
+    return {"op2_host_quality": OP2_SQL, "op6_warc": OP6_SQL}
