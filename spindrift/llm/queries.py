@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spindrift.llm.license_scan import op10_license_scan
+from spindrift.llm.line_chunks import op8_line_chunks
 from spindrift.llm.ngram_lm import op4_ngram_trie
 from spindrift.llm.packing import op5_best_fit_packing
 from spindrift.llm.quality_rules import OP2_SQL, op2_host_quality
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op6_warc": op6_warc,
         "op10_license_scan": op10_license_scan,
         "op7_token_counts": op7_token_counts,
+        "op8_line_chunks": op8_line_chunks,
         "op9_simhash": op9_simhash,
     }
 
