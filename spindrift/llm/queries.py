@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spindrift.llm.decontaminate import op1_latent_decontamination
 from spindrift.llm.license_scan import op10_license_scan
 from spindrift.llm.line_chunks import op8_line_chunks
 from spindrift.llm.ngram_lm import op4_ngram_trie
@@ -14,6 +15,7 @@ from spindrift.llm.warc import OP6_SQL, op6_warc
 
 def queries() -> dict:
     return {
+        "op1_latent_decontamination": op1_latent_decontamination,
         "op2_host_quality": op2_host_quality,
         "op4_ngram_trie": op4_ngram_trie,
         "op5_best_fit_packing": op5_best_fit_packing,
