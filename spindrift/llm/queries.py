@@ -11,12 +11,14 @@ from spindrift.llm.quality_rules import OP2_SQL, op2_host_quality
 from spindrift.llm.simhash import op9_simhash
 from spindrift.llm.token_counts import op7_token_counts
 from spindrift.llm.warc import OP6_SQL, op6_warc
+from spindrift.llm.weak_labels import op3_weak_label_quality
 
 
 def queries() -> dict:
     return {
         "op1_latent_decontamination": op1_latent_decontamination,
         "op2_host_quality": op2_host_quality,
+        "op3_weak_label_quality": op3_weak_label_quality,
         "op4_ngram_trie": op4_ngram_trie,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_warc": op6_warc,
