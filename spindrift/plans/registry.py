@@ -21,7 +21,7 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    pass
+    from spindrift.plans import analytics  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable]:
