@@ -45,15 +45,25 @@ def coded(values: np.ndarray, universe: int, prefix: str) -> dict[str, np.ndarra
     }
 
 
+#: For each byte, the places of its ones.
+IN_BYTE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _ones = [i for i in range(8) if _byte >> i & 1]
+    IN_BYTE[_byte, : len(_ones)] = _ones
+IN_BYTE = IN_BYTE.ravel()
+L, H = U(0x0101010101010101), U(0x8080808080808080)
+
+
 def in_word(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """Place of the nth one (from 0) of each 64-bit word."""
-    place, nth = np.zeros(len(words), U), nth.astype(np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count((words >> place) & U((1 << half) - 1)).astype(np.int64)
-        up = nth >= below
-        nth -= np.where(up, below, 0)
-        place += np.where(up, U(half), U(0))
-    return place.astype(np.int64)
+    """Place of the nth one (from 0) of each 64-bit word: the byte by sums over all bytes at once, the bit by table."""
+    nth = nth.astype(U)
+    s = words - ((words >> U(1)) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+    s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * L  # ones up to each byte
+    off = np.bitwise_count((((nth * L) | H) - s) & H).astype(U) << U(3)
+    rest = nth - (((s << U(8)) >> off) & U(0xFF))
+    byte = (words >> off) & U(0xFF)
+    return off.astype(np.int64) + IN_BYTE[((byte << U(3)) | rest).astype(np.int64)]
 
 
 class Sequence:
@@ -90,10 +100,21 @@ class Sequence:
         out[some] = np.where(high[some] > self.highest, self.n, place - nth)
         return out
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first value that isn't below each x; the length, if there is none."""
-        high = np.minimum(x >> U(self.width), U(1 << 62)).astype(np.int64)
-        lo, end = self._before(high), self._before(high + 1)
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place of the values with this high part, and the place after them: as far as the ones go from there."""
+        lo = self._before(high)
+        at = np.minimum(lo + np.minimum(high, self.highest), 64 * len(self.high) - 1)
+        word, off = at >> 6, (at & 63).astype(U)
+        ahead = (self.high[word] >> off) | np.where(off > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((U(64) - off) & U(63)), U(0))
+        run = np.bitwise_count(ahead & ~(ahead + U(1))).astype(np.int64)
+        end = np.minimum(lo + run, self.n)
+        far = np.flatnonzero(run >= 60)
+        end[far] = self._before(high[far] + 1)
+        return lo, end
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the first value that isn't below each x, the end of the values with x's high part, and x's low part."""
+        lo, end = self._bucket(np.minimum(x >> U(self.width), U(1 << 62)).astype(np.int64))
         want = x & U((1 << self.width) - 1) if self.width else np.zeros(len(x), U)
         hi = end.copy()
         going = np.flatnonzero(lo < hi)
@@ -103,15 +124,19 @@ class Sequence:
             lo[going] = np.where(less, mid + 1, lo[going])
             hi[going] = np.where(less, hi[going], mid)
             going = going[lo[going] < hi[going]]
-        return lo
+        return lo, end, want
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Place of the first value that isn't below each x; the length, if there is none."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each x, -1 if it isn't there."""
-        at = self.successor(x)
+        """Place of each x, -1 if it isn't there: the successor, if it has x's high part and low part."""
+        lo, end, want = self._search(x)
         out = np.full(len(x), -1, np.int64)
-        inside = np.flatnonzero(at < self.n)
-        hit = inside[self.values(at[inside]) == x[inside]]
-        out[hit] = at[hit]
+        inside = np.flatnonzero(lo < end)
+        hit = inside[self.low_of(lo[inside]) == want[inside]]
+        out[hit] = lo[hit]
         return out
 
 

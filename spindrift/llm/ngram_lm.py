@@ -11,8 +11,8 @@ shared folder, mapped into memory by the workers that read it. A shard of level
 A word of a context is found by the successor of (value before the context) + 1 + id, in the context's own stretch.
 
 Smoothing is interpolation with a Dirichlet prior: P(w|u) = (c(u,w) + m P(w|u')) / (c(u) + m), u' one word shorter; words without
-context have (c + 0.1) / (N + 0.1 (V + 1)). Words are known by their 64-bit XXH64; two of a billion words share one with a chance of
-3 %, which would only add their counts.
+context have (c + 0.1) / (N + 0.1 (V + 1)). Words are known by 64-bit hashes; two of a billion words share one with a chance of 3 %, which
+would only add their counts.
 
 Counting: each task makes keys (context place, word id) of its texts, adds up equal ones, and sends each shard its sorted keys as
 differences, by byte planes. The shards' bounds split even a context that a third of all words follow. Reducers add up and write.
@@ -28,15 +28,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.elias_fano import Sequence, coded, mapped, to_bytes
+from spindrift.llm.hashing import word_hashes
 from spindrift.llm.shared import columns, documents, frames, publish, scan_partitions, shared_folder, strings
 
 U = np.uint64
-END = xxhash.xxh64_intdigest(b"\n")  # no word has a line feed
+#: What stands for the end among the words' hashes.
+END = 0x51ED270B9F1C53A7
 
 
 def fold(doc_id, folds: int = 10) -> int:
@@ -46,15 +47,13 @@ def fold(doc_id, folds: int = 10) -> int:
 
 def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end included, and each text's number of tokens."""
-    h, flat, sizes, known = xxhash.xxh64_intdigest, [], [], {}
-    for text in texts:
-        parts = text.encode("utf-8", "surrogatepass").lower().split()
-        for w in set(parts).difference(known):
-            known[w] = h(w)
-        flat += map(known.__getitem__, parts)
-        flat.append(END)
-        sizes.append(len(parts) + 1)
-    return np.array(flat, U), np.array(sizes, np.int64)
+    words, sizes = word_hashes(texts)
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.empty(len(words) + len(texts), U)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside], out[ends] = words, END
+    return out, sizes + 1
 
 
 def planes(keys: np.ndarray) -> bytes:
@@ -155,7 +154,8 @@ class Reader:
             at, context = at[inside], context[inside]
             if not len(at):
                 continue
-            own, back = np.unique(context, return_inverse=True)
+            new = np.r_[True, context[1:] != context[:-1]]  # equal contexts stand together if keys are in order
+            own, back = context[new], np.cumsum(new) - 1
             start, end = pointers.values(own).astype(np.int64), pointers.values(own + 1).astype(np.int64)
             base = np.zeros(len(own), U)
             later = np.flatnonzero(start > 0)
@@ -250,7 +250,7 @@ def count_level(train: DataFrame, keys_of, bounds: np.ndarray, write) -> list:
         for batch in frames(batches):
             held.append(summed(keys_of(strings(batch.column(0)))))
             size += len(held[-1][0])
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield out()
                 held, size = [], 0
         if held:
