@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import vocabulary as V
@@ -189,11 +189,16 @@ def numbers(tokens_: Column) -> Column:
     return F.array_distinct(F.filter(tokens_, is_number))
 
 
-def analyze(text: Column) -> Column:
-    """The analysis of a query as one struct; its arrays keep the order of first sight."""
-    n = normalize(text)
-    token, term = tokens(n), terms(n)
-    lemma_, quantity = lemmas(term), quantities(token)
+def with_analysis(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """`df` with the analysis of a text. In steps, so that Spark works out each array once and not wherever it is used."""
+    df = df.withColumn("__n", normalize(text))
+    df = df.withColumns({"__tokens": tokens(F.col("__n")), "__terms": terms(F.col("__n"))})
+    df = df.withColumns({"__lemmas": lemmas(F.col("__terms")), "__quantities": quantities(F.col("__tokens"))})
+    return df.withColumn(out, analysis(*[F.col(f"__{c}") for c in ("n", "tokens", "terms", "lemmas", "quantities")])).drop("__n", "__tokens", "__terms", "__lemmas", "__quantities")
+
+
+def analysis(n: Column, token: Column, term: Column, lemma_: Column, quantity: Column) -> Column:
+    """The analysis of a text as one struct; its arrays keep the order of first sight."""
     amounts = F.transform(quantity, lambda q: F.concat_ws(" ", q["value"], q["unit"]))
     unit = F.array_distinct(F.concat(F.filter(F.transform(token, unit_of), lambda x: x.isNotNull()), F.transform(quantity, lambda q: q["unit"])))
     package = F.filter(term, lambda x: x.isin(V.PACKAGES))

@@ -21,7 +21,7 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from spindrift.plans import analytics  # noqa: F401  registers its queries
+    from spindrift.plans import analytics, search  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable]:
