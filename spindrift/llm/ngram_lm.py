@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,9 +223,11 @@ class Reader:
 
 def by_shard(bounds: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Shards that keys belong to (bounds[i] <= key < bounds[i + 1]; the last has no end) and the keys' places."""
+    if not len(keys):
+        return
     number = np.searchsorted(bounds, keys, "right") - 1
     order = np.argsort(number, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0]) if len(keys) else []
+    cuts = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
         if number[order[a]] >= 0:
             yield int(number[order[a]]), order[a:b]
@@ -256,13 +257,15 @@ def count_level(train: DataFrame, keys_of, bounds: np.ndarray, write) -> list:
         if held:
             yield out()
 
-    def reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = summed(np.concatenate([unplanes(x) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["counts"]]))
-        write(int(key[0]), keys, counts)
-        return pd.DataFrame({"shard": [int(key[0])], "n": [len(keys)], "total": [int(counts.sum())]})
+    def reduce(rows: pa.Table) -> pa.Table:
+        shard = rows["shard"][0].as_py()
+        keys, counts = summed(np.concatenate([unplanes(x.as_buffer()) for x in rows["keys"]]), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["counts"]]).astype(np.int64))
+        del rows
+        write(shard, keys, counts)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     sent = train.mapInArrow(gather, "shard int, keys binary, counts binary")
-    return sorted(sent.groupBy("shard").applyInPandas(reduce, "shard int, n long, total long").collect())
+    return sorted(sent.groupBy("shard").applyInArrow(reduce, "shard int, n long, total long").collect())
 
 
 def build(docs: DataFrame, order: int = 3, prior: float = 200.0, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, shards: int | None = None) -> Trie:

@@ -74,7 +74,7 @@ class WordIds:
         return [b"".join(map(get, p)) for p in parts]
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache: int = 600_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache: int = 150_000) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 (and ids, if asked for): the ids of each row's text, then `end_id`, in pieces of at most `capacity`.
 
     Only longer sequences are cut; the last piece of one may be shorter. A null or empty text is the end id alone. Repeated rows and null

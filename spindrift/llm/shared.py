@@ -17,9 +17,17 @@ from pyspark.sql import functions as F
 from spindrift.session import ship
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """A session whose workers find this package and get texts in Arrow batches of a few MB, unless the session has a smaller limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, "64m") in ("64m", "67108864b", "67108864", "256m", "268435456b"):
+        spark.conf.set(limit, "8m")
+    return ship(spark)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A driver table by a path that Spark's readers open."""
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:

@@ -3,10 +3,14 @@
 Writing: a task writes one archive, a gzip member for each record, and beside it an index of the members' offsets. Files appear under
 their final names only when the job commits, so a lost or repeated task leaves nothing.
 
-Reading: a file is cut at member offsets into partitions of about `split` bytes (a file without an index is one partition). Filters on
-record_type, record_id, target_uri, payload_digest and refers_to are pushed down. A record's headers are inflated and parsed first; if a
-filter rejects them, the reader goes to the next member without inflating the rest. Payloads are decoded only if the frame's schema
-has the payload column: `.schema("record_id string, record_type string")` reads headers alone.
+Reading: a file is cut at member offsets into partitions of about `split` bytes (a file without an index is one partition). Predicates on
+record_type, record_id, target_uri, payload_digest and refers_to are pushed down to the reader (`read_archives`). A record's headers are
+inflated and parsed first; if a predicate rejects them, the reader goes to the next member without inflating the rest. Payloads are
+decoded only if the schema has the payload column.
+
+Predicates go by an option of the scan. With the option pushdown=true, and spark.sql.python.filterPushdown.enabled set, the reader takes
+filters from Spark's optimizer as well; it is not the default, as Spark 4.1.2 keeps the filters of one query for later queries on the same
+frame.
 
 The path must be a folder that all nodes mount.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import glob
+import json
 import os
 import struct
 import uuid
@@ -118,15 +123,8 @@ class Stretch(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
-        self.path, self.split, self.names, self.filters = folder_of(options["path"]), int(options.get("split", 16 << 20)), names, []
-
-    def pushFilters(self, filters: list) -> Iterable:
-        known = {"record_id", "record_type", "target_uri", "payload_digest", "refers_to"}
-        for f in filters:
-            if isinstance(f, EqualTo | In | IsNull | IsNotNull | StringStartsWith) and len(f.attribute) == 1 and f.attribute[0] in known:
-                self.filters.append((type(f).__name__, f.attribute[0], getattr(f, "value", None)))
-            else:
-                yield f
+        self.path, self.split, self.names = folder_of(options["path"]), int(options.get("split", 16 << 20)), names
+        self.filters = [tuple(x) for x in json.loads(options.get("predicates", "[]"))]
 
     def accepts(self, headers: dict[str, str]) -> bool:
         for kind, name, want in self.filters:
@@ -228,6 +226,18 @@ class Reader(DataSourceReader):
                     at = f.tell() - len(buffered)
 
 
+class FilteringReader(Reader):
+    """Takes filters from Spark's optimizer as well; for a frame that one query uses."""
+
+    def pushFilters(self, filters: list) -> Iterable:
+        known = {"record_id", "record_type", "target_uri", "payload_digest", "refers_to"}
+        for f in filters:
+            if isinstance(f, EqualTo | In | IsNull | IsNotNull | StringStartsWith) and len(f.attribute) == 1 and f.attribute[0] in known:
+                self.filters.append((type(f).__name__, f.attribute[0], getattr(f, "value", None)))
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     part: str
@@ -279,7 +289,7 @@ class Warc(DataSource):
     def reader(self, schema: StructType) -> Reader:
         if unknown := set(schema.names) - set(FIELDS):
             raise ValueError(f"archives have no {', '.join(sorted(unknown))}")
-        return Reader(self.options, schema.names)
+        return (FilteringReader if self.options.get("pushdown") == "true" else Reader)(self.options, schema.names)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         if missing := {"record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload"} - set(schema.names):
@@ -291,7 +301,20 @@ class Warc(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Warc)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read_archives(spark: SparkSession, path: str, *predicates: tuple[str, str, object], columns: list[str] | None = None, split: int = 16 << 20) -> DataFrame:
+    """Records of the archives in a folder that satisfy all predicates (kind, column, value), and of their columns only those named.
+
+    Kinds: EqualTo, In (a list), IsNull, IsNotNull, StringStartsWith. Without "payload" among the columns no payload is decoded.
+    """
+    kinds = {"EqualTo", "In", "IsNull", "IsNotNull", "StringStartsWith"}
+    if bad := [p for p in predicates if p[0] not in kinds or FIELDS.get(p[1], (None,))[0] is None]:
+        raise ValueError(f"can't push down {bad}")
+    register(spark)
+    types = dict(x.split(" ") for x in SCHEMA.split(", "))
+    schema = ", ".join(f"{c} {types[c]}" for c in columns or types)
+    return spark.read.format("warc").schema(schema).option("predicates", json.dumps(predicates)).option("split", str(split)).load(path)
 
 
 def page_id_of(column) -> F.Column:
@@ -322,7 +345,7 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     register(spark)
     folder = shared_folder(spark, "warc")
     page_records(documents(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    read = spark.read.format("warc").load(folder)
+    read = read_archives(spark, folder)
     full = F.col("record_type") == "response"
     return read.select(
         page_id_of(F.col("record_id")).alias("page_id"),

@@ -170,7 +170,7 @@ def train(column: np.ndarray, sizes: np.ndarray, target: np.ndarray, use: np.nda
     for step in range(1, epochs + 1):
         z = np.bincount(row, w[column], len(target)) + w[-1]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        grad = np.bincount(column, g[row], n)
+        grad = np.bincount(column, g[row], n).astype(float)
         grad[-1] = g.sum()
         grad += l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
