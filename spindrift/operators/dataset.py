@@ -30,7 +30,11 @@ def token_votes(queries: DataFrame, samples: DataFrame, n: int) -> DataFrame:
 
 
 def matches(queries: DataFrame, items: DataFrame, n_categories: int) -> DataFrame:
-    """The best item of each query among its voted categories: 3 * title words + 1.4 * category words shared."""
+    """The best item of each query among its voted categories: 3 * title words + 1.4 * category words shared, the least id of equals.
+
+    Items with the same words score alike, so only the first of these is paired with queries.
+    """
+    items = items.groupBy("category", F.array_sort("words").alias("words"), F.array_sort("category_words").alias("category_words")).agg(F.min("item_id").alias("item_id"))
     voted = token_votes(queries, items.select("category", "words"), n_categories).select("query_id", "category")
     pairs = voted.join(items, "category").join(queries.withColumnRenamed("words", "asked"), "query_id")
     score = F.round(3.0 * F.size(F.array_intersect("asked", "words")) + 1.4 * F.size(F.array_intersect("asked", "category_words")), 4)
