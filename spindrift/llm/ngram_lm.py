@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.elias_fano import Sequence, coded, mapped, to_bytes
 from spindrift.llm.hashing import word_hashes
-from spindrift.llm.shared import columns, documents, frames, publish, scan_partitions, shared_folder, strings
+from spindrift.llm.shared import columns, documents, frames, hold, publish, scan_partitions, shared_folder, strings
 
 U = np.uint64
 #: What stands for the end among the words' hashes.
@@ -111,18 +111,12 @@ class Trie:
 class Reader:
     """Lookups in a trie; one for each worker and folder."""
 
-    _of: dict[str, Reader] = {}
-
     def __init__(self, trie: Trie):
         self.trie, self.files = trie, {}
 
     @classmethod
     def of(cls, trie: Trie) -> Reader:
-        if (found := cls._of.get(trie.folder)) is None or len(found.trie.levels) < len(trie.levels):
-            if found is None:
-                cls._of.clear()
-            cls._of[trie.folder] = found = cls(trie)
-        return found
+        return hold("trie", (trie.folder, len(trie.levels)), lambda: cls(trie))
 
     def shard(self, level: int, number: int) -> tuple:
         if (level, number) not in self.files:

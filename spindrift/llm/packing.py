@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from spindrift.llm.shared import columns, documents, frames, strings, tokenizer_path
+from spindrift.llm.shared import columns, documents, frames, hold, strings, tokenizer_path
 
 #: Letters and white space of Latin-1, after lower-casing.
 LETTERS, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "\t-\r \x85\xa0"
@@ -31,8 +31,6 @@ class WordIds:
     blanks. Both are places where the tokenizer's own rule cuts, so ids of the parts put together are those of the text.
     """
 
-    _of: dict[str, WordIds] = {}
-
     def __init__(self, path: str, cache: int):
         import os
 
@@ -45,9 +43,7 @@ class WordIds:
 
     @classmethod
     def of(cls, path: str, cache: int) -> WordIds:
-        if path not in cls._of:
-            cls._of[path] = cls(path, cache)
-        return cls._of[path]
+        return hold("word ids", (path, cache), lambda: cls(path, cache))
 
     def parts(self, text: str) -> list[str]:
         if "'" not in text and not self.specials.search(text):
@@ -74,7 +70,7 @@ class WordIds:
         return [b"".join(map(get, p)) for p in parts]
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache: int = 150_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 (and ids, if asked for): the ids of each row's text, then `end_id`, in pieces of at most `capacity`.
 
     Only longer sequences are cut; the last piece of one may be shorter. A null or empty text is the end id alone. Repeated rows and null

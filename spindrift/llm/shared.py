@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from spindrift.session import ship
 
+T = TypeVar("T")
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """A session whose workers find this package and get texts in Arrow batches of a few MB, unless the session has a smaller limit."""
@@ -91,15 +95,36 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 def frames(batches: Iterable[pa.RecordBatch], step: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Batches of a bounded number of rows and about 32 MB at most, whatever Spark sends; a single long text stays whole."""
-    for batch in batches:
-        done = 0
-        while done < batch.num_rows:
-            n = min(step, batch.num_rows - done)
-            while n > 1 and batch.slice(done, n).get_total_buffer_size() / max(1, batch.num_rows) * n > 32e6:
-                n //= 2
-            yield batch.slice(done, n)
-            done += n
+    """Batches of a bounded number of rows and about 8 MB at most, whatever Spark sends; a single long text stays whole."""
+    try:
+        for batch in batches:
+            done, each = 0, batch.get_total_buffer_size() / max(1, batch.num_rows)
+            most = max(1, min(step, int(8e6 / max(1.0, each))))
+            while done < batch.num_rows:
+                yield batch.slice(done, most)
+                done += most
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on after its task, and what it keeps counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+_held: dict[str, tuple] = {}
+
+
+def hold(kind: str, key: object, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task, made when it isn't there. One thing at a time: another operator's is dropped."""
+    if kind not in _held or _held[kind][0] != key:
+        _held.clear()
+        _held[kind] = key, make()
+    return _held[kind][1]
 
 
 def tokenizer_path(name: str) -> str:

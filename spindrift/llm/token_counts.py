@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spindrift.llm.shared import columns, frames, strings, tokenizer_path
+from spindrift.llm.shared import columns, frames, hold, strings, tokenizer_path
 
 MARK = "▁"
 LONG = 4096
@@ -150,8 +150,6 @@ class MergeTable:
 class Counter:
     """Counts texts; one for each worker and model."""
 
-    _of: dict[str, Counter] = {}
-
     def __init__(self, model_file: str, cache: int):
         self.table, self.cache, self.seen = MergeTable(model_file), cache, {}
         self.newline_apart = "\n" not in self.table.char and not any("\n" in p for p in self.table.char)
@@ -160,9 +158,7 @@ class Counter:
 
     @classmethod
     def of(cls, model_file: str, cache: int) -> Counter:
-        if model_file not in cls._of:
-            cls._of[model_file] = cls(model_file, cache)
-        return cls._of[model_file]
+        return hold("token counts", (model_file, cache), lambda: cls(model_file, cache))
 
     def pretokens(self, text: str) -> list[str]:
         """Parts between which no piece spans; newlines, when they are no piece, are left out."""
