@@ -2,7 +2,9 @@
 
 Lines are hashed. A rolling hash over `window` line hashes chooses the boundaries of chunks, so a line put in or left out moves only the
 boundaries next to it; a line of at least `long_words` words always is a chunk of its own. Chunks of two or more lines and `least_words`
-words, and long lines, can be removed; other chunks never are.
+words, and long lines, can be removed; other chunks never are. Short passages rarely hold both ends of such a chunk, so further chunks
+begin or end at every line that isn't long, and go on over such lines until they have `run_words` words: their ends depend on nothing but
+their own lines. A chunk's hash is a rolling polynomial over its lines' hashes.
 
 Hashes of all chunks are counted first. Texts of chunks whose hash occurs again are then compared byte by byte: rows of equal hash and
 equal text are one class. In each class the document with the smallest id keeps the first place, and all other places go.
@@ -23,15 +25,21 @@ MASK = (1 << 64) - 1
 
 
 class Chunker:
-    def __init__(self, window: int = 2, divisor: int = 2, long_words: int = 25, least_words: int = 10):
-        self.window, self.divisor, self.long_words, self.least_words = window, divisor, long_words, least_words
+    BASE = 0x9E3779B97F4A7C15
 
-    def cut(self, lines: list[str]) -> list[tuple[int, int, bool]]:
-        """Chunks as first line, line after the last, and whether it can be removed."""
+    def __init__(self, window: int = 2, divisor: int = 2, long_words: int = 25, least_words: int = 10, run_words: int = 40):
+        self.window, self.divisor, self.long_words, self.least_words, self.run_words = window, divisor, long_words, least_words, run_words
+
+    def cut(self, lines: list[str]) -> list[tuple[int, int]]:
+        """Removable chunks as first line and line after the last, ascending; they may overlap."""
+        return [(a, b) for a, b, _ in self.hashed(lines)]
+
+    def hashed(self, lines: list[str]) -> list[tuple[int, int, int]]:
+        """Removable chunks with their hashes."""
         sizes = [len(x.split()) for x in lines]
         h, k = xxhash.xxh64_intdigest, self.window
         hashes = [h(x.encode("utf-8", "surrogatepass")) for x in lines]
-        out, start, roll, total = [], 0, 0, 0
+        found, start, roll, total = set(), 0, 0, 0
         for i, size in enumerate(sizes):
             roll = ((roll << 1 | roll >> 63) & MASK) ^ hashes[i]
             if i >= k:
@@ -39,9 +47,31 @@ class Chunker:
                 roll ^= (old << k % 64 | old >> (64 - k % 64)) & MASK
             total += size
             if i + 1 == len(lines) or size >= self.long_words or sizes[i + 1] >= self.long_words or (roll >> 7) % self.divisor == 0:
-                out.append((start, i + 1, total >= self.long_words and i == start or i > start and total >= self.least_words))
+                if total >= self.long_words and i == start or i > start and total >= self.least_words:
+                    found.add((start, i + 1))
                 start, total = i + 1, 0
-        return out
+        found.update(self._runs(sizes))
+        before, powers = [0], [1]
+        for x in hashes:
+            before.append((before[-1] * self.BASE + x) & MASK)
+            powers.append(powers[-1] * self.BASE & MASK)
+        return [(a, b, (before[b] - before[a] * powers[b - a]) & MASK) for a, b in sorted(found)]
+
+    def _runs(self, sizes: list[int]) -> Iterator[tuple[int, int]]:
+        """The shortest stretches of run_words words that begin, and those that end, at each line, over lines that aren't long."""
+        a, total = 0, 0
+        for b, size in enumerate(sizes):
+            if size >= self.long_words:
+                a, total = b + 1, 0
+                continue
+            total += size
+            fits = total >= self.run_words
+            while fits and total - sizes[a] >= self.run_words:  # ends here, and begins as late as it can
+                yield a, b + 1
+                total -= sizes[a]
+                a += 1
+            if fits and b > a:
+                yield a, b + 1
 
 
 def _candidates(docs: DataFrame, chunker: Chunker, with_text: bool) -> DataFrame:
@@ -53,13 +83,16 @@ def _candidates(docs: DataFrame, chunker: Chunker, with_text: bool) -> DataFrame
             row, found, texts, places = [], [], [], []
             for i, text in enumerate(strings(batch.column(2))):
                 lines = text.split("\n")
-                own: dict[str, list[int]] = {}
-                for n, (a, b, removable) in enumerate(chunker.cut(lines)):
-                    if removable:
-                        own.setdefault("\n".join(lines[a:b]), []).append(n)
+                own: dict[object, tuple[int, list[int]]] = {}
+                ends: dict[object, int] = {}
+                for n, (a, b, h) in enumerate(chunker.hashed(lines)):
+                    key = "\n".join(lines[a:b]) if with_text else h
+                    if a >= ends.get(key, 0):  # places of a chunk in a text don't overlap
+                        own.setdefault(key, (h, []))[1].append(n)
+                        ends[key] = b
                 row += [i] * len(own)
-                found += [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 1) - (1 << 63) for x in own]
-                places += own.values()
+                found += [h - (1 << 63) for h, _ in own.values()]
+                places += [x for _, x in own.values()]
                 if with_text:
                     texts += own
             at = pa.array(row, pa.int64())
@@ -77,15 +110,15 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, long_words: int = 25, least_words: int = 10, most_broadcast: int = 200_000) -> DataFrame:
-    """`docs` with all its columns, the text without the places that go, and removed: array of (first, after), the lines that went, from 0.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, long_words: int = 25, least_words: int = 10, run_words: int = 40, most_broadcast: int = 200_000) -> DataFrame:
+    """`docs` with all its columns, the text without the places that go, and removed: array of (first, after), the chunks that went, as lines from 0.
 
     A text that loses nothing stays as it is, a null text null. Rows that share an id are one document for the choice of the keeper: each
     keeps its first place of a chunk. A null id keeps a chunk only if all rows of the class have null ids. Empty tables give empty ones.
     Tables of repeated hashes and of documents that lose lines are counted, and broadcast up to `most_broadcast` rows (tens of MB), else
     joined by a shuffle, where Spark splits hot keys. Equal chunks are added up in each task before they are sent.
     """
-    chunker = Chunker(window, divisor, long_words, least_words)
+    chunker = Chunker(window, divisor, long_words, least_words, run_words)
     own = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
     repeated = settle(_candidates(own, chunker, False).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
     found = settle(_candidates(own, chunker, True).join(_small(repeated, most_broadcast), "hash"))
@@ -106,7 +139,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if going:
                     lines = texts[i].split("\n")
                     cuts = chunker.cut(lines)
-                    gone = [cuts[n][:2] for n in going]
+                    gone = [cuts[n] for n in going]
                     out = set().union(*(range(a, b) for a, b in gone))
                     texts[i] = "\n".join(x for n, x in enumerate(lines) if n not in out)
                 removed.append([{"first": a, "after": b} for a, b in gone])
@@ -120,5 +153,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op8_line_chunks(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    lines = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + (x["after"] - x["first"]))
+    lines = F.size(F.array_distinct(F.flatten(F.transform("removed", lambda x: F.sequence(x["first"], x["after"] - 1))))).cast("long")
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed_chunks"), lines.alias("n_removed_lines"))

@@ -32,14 +32,17 @@ def test_awkward_rows_are_judged(awkward, nothing):
 
 
 def brute_chunks(texts):
-    chunker, seen, out = Chunker(), set(), {}
+    """Chunks in order of documents: a class keeps its first document's first place."""
+    chunker, keeper, out = Chunker(), {}, {}
     for d in sorted(texts):
-        lines, gone = (texts[d] or "").split("\n"), set()
-        for a, b, removable in chunker.cut(lines):
+        lines, gone, ends = (texts[d] or "").split("\n"), set(), {}
+        for a, b in chunker.cut(lines):
             chunk = "\n".join(lines[a:b])
-            if removable and chunk in seen:
+            if a < ends.get(chunk, 0):
+                continue
+            if chunk in ends or keeper.setdefault(chunk, d) != d:
                 gone |= set(range(a, b))
-            seen |= {chunk} if removable else set()
+            ends[chunk] = b
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else texts[d]
     return out
 
@@ -56,9 +59,9 @@ def test_shuffled_joins_give_the_same(spark, sf, texts):
 
 def test_boundaries_resist_shifts():
     lines = [f"line number {i} of the passage, with a few words" for i in range(60)]
-    a = {"\n".join(lines[x:y]) for x, y, _ in Chunker().cut(lines)}
+    a = {"\n".join(lines[x:y]) for x, y in Chunker().cut(lines)}
     b = Chunker().cut(["put in front", *lines])
-    shifted = {"\n".join(["put in front", *lines][x:y]) for x, y, _ in b}
+    shifted = {"\n".join(["put in front", *lines][x:y]) for x, y in b}
     assert len(a & shifted) >= len(a) - 2
 
 
@@ -69,6 +72,24 @@ def test_passages_go_wherever_they_stand(spark):
     assert passage in got[0]["text"] and all(passage not in got[i]["text"] and f"own last line of {i}" in got[i]["text"] for i in range(1, 5))
 
 
+def test_passages_of_short_lines_go(spark):
+    r = np.random.default_rng(8)
+    line = lambda a, b: " ".join(f"w{r.integers(10**9)}" for _ in range(r.integers(a, b)))
+    for _ in range(3):
+        passage = [line(4, 20) for _ in range(8)]
+        rows = [(i, "\n".join([*(line(4, 30) for _ in range(4)), *passage, *(line(4, 30) for _ in range(3))])) for i in range(4)]
+        got = rows_of(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+        assert all(x in got[0]["text"] for x in passage)
+        for i in (1, 2, 3):
+            assert not any(x in got[i]["text"] for x in passage) and got[i]["text"].count("\n") == 6
+
+
+def test_lines_repeated_in_one_text_keep_the_first(spark):
+    text = "\n".join(["a line of six words only"] * 30)
+    got = remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert 1 <= got.count("a line of six words only") < 30
+
+
 def test_line_dedup_of_awkward_rows(awkward, nothing):
     done = remove_repeats(awkward)
     assert done.columns == [*[c for c in awkward.columns], "removed"] or done.count() == awkward.count()
