@@ -128,3 +128,39 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).drop("matches")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The same in DuckDB SQL, joining on the words themselves instead of their hashes. Its edit distance counts bytes, so it agrees where matched stretches are ASCII.
+OP10_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (
+  SELECT template, label, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (VALUES {", ".join(f"({i}, {_quoted(label)}, {_quoted(text)})" for i, (label, text) in enumerate(TEMPLATES))}) v(template, label, text)),
+tg AS (SELECT template, i AS t_pos, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM (SELECT template, w, unnest(range(0, len(w) - 2)) AS i FROM t)),
+dg AS (SELECT r, i AS pos, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM d)),
+votes AS (SELECT r, template, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS voted, min(pos) AS first, max(pos) AS last FROM dg JOIN tg USING (g) GROUP BY ALL),
+cut AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS apart FROM votes),
+numbered AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS stretch FROM cut),
+merged AS (SELECT r, template, len(list_distinct(flatten(list(voted)))) AS voted, min(first) AS start, max(last) AS last FROM numbered GROUP BY r, template, stretch),
+spans AS (
+  SELECT d.r, t.label, array_to_string(d.w[start + 1:start + least(last - start + 3, 2 * len(t.w))], ' ') AS a, array_to_string(t.w, ' ') AS b
+  FROM merged JOIN t USING (template) JOIN d USING (r) WHERE voted >= 0.6::DOUBLE * (len(t.w) - 2)),
+alike AS (SELECT r, label, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS similarity FROM spans),
+found AS (SELECT r, list(DISTINCT label) AS labels, max(similarity) AS best FROM alike WHERE similarity >= 0.7 GROUP BY r),
+base AS (
+  SELECT r, doc_id, len(w) AS n_words,
+         {", ".join(f"list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: {' AND '.join(f'w[i + {j + 1}] = {_quoted(x)}' for j, x in enumerate(p.split()))}) AS p{n}" for n, p in enumerate(PHRASES))}
+  FROM d),
+named AS (
+  SELECT *, {" || ".join(f"p{n}" for n in range(len(PHRASES)))} AS places,
+         list_filter([{", ".join(f"CASE WHEN len(p{n}) > 0 THEN {_quoted(x)} END" for n, x in enumerate(PHRASES.values()))}], lambda x: x IS NOT NULL) AS own FROM base)
+SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+       array_to_string(list_sort(own), ',') AS base_labels, array_to_string(list_sort(list_distinct(own || coalesce(labels, []))), ',') AS labels,
+       CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM named LEFT JOIN found USING (r)
+"""

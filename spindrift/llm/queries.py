@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from spindrift.llm.decontaminate import op1_latent_decontamination
-from spindrift.llm.license_scan import op10_license_scan
+from spindrift.llm.license_scan import OP10_SQL, op10_license_scan
 from spindrift.llm.line_chunks import op8_line_chunks
 from spindrift.llm.ngram_lm import op4_ngram_trie
 from spindrift.llm.packing import op5_best_fit_packing
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": OP2_SQL, "op6_warc": OP6_SQL}
+    return {"op2_host_quality": OP2_SQL, "op6_warc": OP6_SQL, "op10_license_scan": OP10_SQL}

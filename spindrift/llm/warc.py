@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from spindrift.llm.shared import columns, documents, shared_folder
+from spindrift.llm.shared import columns, documents, prepared, shared_folder
 
 FIELDS = {
     "record_id": ("WARC-Record-ID", pa.string()),
@@ -300,7 +300,8 @@ class Warc(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Warc)
+    """Make the format known; workers must find this package from then on."""
+    prepared(spark).dataSource.register(Warc)
 
 
 def read_archives(spark: SparkSession, path: str, *predicates: tuple[str, str, object], columns: list[str] | None = None, split: int = 16 << 20) -> DataFrame:
