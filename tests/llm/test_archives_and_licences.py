@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spindrift.llm.license_scan import PHRASES, license_scan, op10_license_scan, words
+from spindrift.llm.license_scan import OP10_SQL, PHRASES, license_scan, op10_license_scan, words
 from spindrift.llm.warc import INDEX, OP6_SQL, Warc, op6_warc, page_records, read_archives, register
 from tests_shared import rows_of, same_as_sql
 
@@ -85,6 +85,10 @@ def test_empty_table_and_bad_use(spark, tmp_path):
         spark.read.format("warc").schema("bad string").load(str(tmp_path)).collect()
 
 
+def test_op10_equals_sql(spark, sf):
+    same_as_sql(op10_license_scan(spark, sf), OP10_SQL, sf)
+
+
 def brute_places(text):
     import re
 
