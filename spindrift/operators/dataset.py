@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,22 +48,29 @@ def soft_label(positive: Column, same_category: Column, overlap: Column) -> Colu
     return F.when(positive, 3).when(same_category & (overlap > 0), 1).otherwise(0)
 
 
-def time_split(sessions: DataFrame, key: list[str], at: str, train: float = 0.8, validate: float = 0.1) -> DataFrame:
-    """Sessions in order of time with their split: the first int(n * train), the next int(n * validate), the rest.
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` with place, their place from 0 in the order of the columns, which must tell rows apart, and n, their number.
 
-    The rank over all sessions comes from counts of ranges: sessions are dealt by ranges of time, ranked within them, and moved up by the
-    sizes of the ranges before, so no task gets all of them.
+    Rows are dealt by ranges of the order and ranked within them, and each range is moved up by the sizes of those before it, so no task gets
+    all rows; what one task sorts is a row for each range. The dealt rows are kept (persist): the ranges come from a sample, and dealing
+    the rows twice could cut them at different places.
     """
-    spark = sessions.sparkSession
-    dealt = sessions.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), at, *key).withColumn("part", F.spark_partition_id())
-    dealt = dealt.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(at, *key)))
-    sizes = dealt.groupBy("part").agg(F.max("within").alias("size")).orderBy("part")
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    total = before.agg(F.sum("size").alias("n"))
-    placed = dealt.join(F.broadcast(before.select("part", "before")), "part").join(F.broadcast(total)).withColumn("place", F.col("before") + F.col("within") - 1)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    dealt = dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__part").orderBy(*order))).persist(StorageLevel.DISK_ONLY)
+    sizes = dealt.groupBy("__part").agg(F.max("__within").alias("__size"))
+    ordered = Window.orderBy("__part")
+    before = F.coalesce(F.sum("__size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moved = sizes.select("__part", before.alias("__before"), total.cast("long").alias("n"))
+    return dealt.join(F.broadcast(moved), "__part").withColumn("place", (F.col("__before") + F.col("__within") - 1).cast("long")).select(*rows.columns, "place", "n")
+
+
+def time_split(sessions: DataFrame, key: list[str], at: str, train: float = 0.8, validate: float = 0.1) -> DataFrame:
+    """Sessions in order of time with their split: the first int(n * train), the next int(n * validate), the rest."""
     first, second = F.floor(F.col("n") * train), F.floor(F.col("n") * validate)
     split = F.when(F.col("place") < first, "train").when(F.col("place") < first + second, "val").otherwise("test")
-    return placed.withColumn("split", split).select(*sessions.columns, "split")
+    return placed(sessions, [at, *key]).withColumn("split", split).select(*sessions.columns, "split")
 
 
 def gates(rows: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:

@@ -177,10 +177,10 @@ def ltr_frame(spark, sf):
     return rows.groupBy((F.col("user_id") * 100000 + F.col("session")).alias("group_id"), "item_id").agg(label.alias("label"), F.round(F.avg("value"), 6).alias("value"), F.first("price").alias("price"), F.length(F.first("title")).alias("title_len"), F.size(F.split(F.first("title"), " ")).alias("title_words"), F.first("size").alias("size"))
 
 
-@query(W(FRAME) + "SELECT group_id, item_id, label, value, price, title_len::INTEGER AS title_len, title_words::INTEGER AS title_words, size, (dense_rank() OVER (ORDER BY group_id) - 1)::INTEGER AS group_code FROM frame")
+@query(W(FRAME) + "SELECT group_id, item_id, label, value, price, title_len::INTEGER AS title_len, title_words::INTEGER AS title_words, size, (dense_rank() OVER (ORDER BY group_id) - 1)::BIGINT AS group_code FROM frame")
 def ltr_features(spark, sf):
     frame = ltr_frame(spark, sf)
-    codes = frame.select("group_id").distinct().withColumn("group_code", F.dense_rank().over(Window.orderBy("group_id")) - 1)  # over distinct groups only
+    codes = D.placed(frame.select("group_id").distinct(), ["group_id"]).select("group_id", F.col("place").alias("group_code"))
     return frame.join(codes, "group_id").select("group_id", "item_id", "label", "value", "price", "title_len", "title_words", "size", "group_code")
 
 
