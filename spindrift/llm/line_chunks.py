@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
     repeated = settle(_candidates(own, chunker, False).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
     found = settle(_candidates(own, chunker, True).join(_small(repeated, most_broadcast), "hash"))
-    classes = found.groupBy("hash", "chunk").agg(F.min("doc_id").alias("keeper"), F.sum(F.size("places")).alias("n")).where("n > 1").drop("n")
+    classes = settle(found.groupBy("hash", "chunk").agg(F.min("doc_id").alias("keeper"), F.sum(F.size("places")).alias("n")).where("n > 1").drop("n"))  # apart from the join, so that Spark may split a hot chunk there
     first = F.col("doc_id").eqNullSafe(F.col("keeper"))
     going = found.join(classes, ["hash", "chunk"]).select("doc_id", "text_hash", F.explode(F.when(first, F.slice("places", 2, F.size("places"))).otherwise(F.col("places"))).alias("place"))
     going = settle(going.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_set("place")).alias("__going")))
