@@ -121,6 +121,38 @@ def test_near_copies_equal_brute_force(spark, sf, texts):
     assert {r["doc_id"] for r in one_of_each(docs).select("doc_id").collect()} == set(want.values())
 
 
+def test_near_copies_of_one_stretch(spark):
+    """Pairs at 0.80 to 0.85 that differ in one stretch: appended, cut off, replaced at the end."""
+    r, rows = np.random.default_rng(5), []
+    for n in range(40, 300, 2):
+        for kind in ("appended", "cut", "replaced"):
+            for least in (0.8, 0.83):
+                pair = len(rows) // 2
+                w = [f"w{pair}x{r.integers(10**9)}" for _ in range(n)]
+                new = [f"v{pair}x{r.integers(10**9)}" for _ in range(n)]
+                size = n - 4
+                if kind == "replaced":  # of d words, one stretch at the end: (size - d) / (size + d)
+                    d = int(size * (1 - least) / (1 + least))
+                    other, share = w[: n - d] + new[:d], (size - d) / (size + d)
+                elif kind == "cut":
+                    d = int(size * (1 - least))
+                    other, share = w[: n - d], (size - d) / size
+                else:
+                    d = int(size * (1 / least - 1))
+                    other, share = w + new[:d], size / (size + d)
+                assert 0.8 <= share <= 0.87
+                rows += [(2 * pair, " ".join(w)), (2 * pair + 1, " ".join(other))]
+    got = {x["doc_id"]: x["root_id"] for x in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_near_copies_of_few_long_words(spark):
+    """The words that differ are the only ones of five bytes or more."""
+    short = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijkl" for c in "mnop"]
+    rows = [(i, " ".join([*short, word])) for i, word in enumerate(("elephants", "crocodiles"))]
+    assert {x["root_id"] for x in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
 def test_one_of_each_of_awkward_rows(awkward, nothing):
     kept = one_of_each(awkward)
     assert kept.columns == awkward.columns
