@@ -3,8 +3,9 @@
 Lines are hashed. A rolling hash over `window` line hashes chooses the boundaries of chunks, so a line put in or left out moves only the
 boundaries next to it; a line of at least `long_words` words always is a chunk of its own. Chunks of two or more lines and `least_words`
 words, and long lines, can be removed; other chunks never are. Short passages rarely hold both ends of such a chunk, so further chunks
-begin or end at every line that isn't long, and go on over such lines until they have `run_words` words: their ends depend on nothing but
-their own lines. A chunk's hash is a rolling polynomial over its lines' hashes.
+begin or end at every line and go on, over lines of any length, until they have `run_words` words: their ends depend on nothing but their
+own lines. Those of long and blank lines alone are left out, as each long line is a chunk already. A chunk's hash is a rolling polynomial
+over its lines' hashes.
 
 Hashes of all chunks are counted first. Texts of chunks whose hash occurs again are then compared byte by byte: rows of equal hash and
 equal text are one class. In each class the document with the smallest id keeps the first place, and all other places go.
@@ -58,19 +59,21 @@ class Chunker:
         return [(a, b, (before[b] - before[a] * powers[b - a]) & MASK) for a, b in sorted(found)]
 
     def _runs(self, sizes: list[int]) -> Iterator[tuple[int, int]]:
-        """The shortest stretches of run_words words that begin, and those that end, at each line, over lines that aren't long."""
-        a, total = 0, 0
+        """The shortest stretches of run_words words that begin, and those that end, at each line, if they hold a line with words that isn't long."""
+        a, total, short = 0, 0, 0
         for b, size in enumerate(sizes):
-            if size >= self.long_words:
-                a, total = b + 1, 0
-                continue
+            fitted = total >= self.run_words  # the stretch from a that ends before this line, so that this one isn't the shortest
             total += size
-            fits = total >= self.run_words
-            while fits and total - sizes[a] >= self.run_words:  # ends here, and begins as late as it can
-                yield a, b + 1
+            short += 0 < size < self.long_words
+            if total < self.run_words:
+                continue
+            while total - sizes[a] >= self.run_words:  # ends here, and begins as late as it can
+                if short and not fitted:
+                    yield a, b + 1
                 total -= sizes[a]
-                a += 1
-            if fits and b > a:
+                short -= 0 < sizes[a] < self.long_words
+                a, fitted = a + 1, False
+            if short and b > a:
                 yield a, b + 1
 
 

@@ -84,6 +84,21 @@ def test_passages_of_short_lines_go(spark):
             assert not any(x in got[i]["text"] for x in passage) and got[i]["text"].count("\n") == 6
 
 
+def test_passages_of_long_and_short_lines_go(spark):
+    r = np.random.default_rng(9)
+    line = lambda n: " ".join(f"w{r.integers(10**9)}" for _ in range(n))
+    shapes = [[20, 30, 20], [5, 45, 5], [24, 25, 2], [30, 4, 30, 4, 30], [3, 0, 26, 0, 24]]
+    shapes += [x for x in (r.integers(lo, hi, r.integers(2, 9)).tolist() for lo, hi in [(4, 31), (10, 41)] * 20) if sum(x) > 50]
+    passages = [[line(n) for n in x] for x in shapes]
+    rows = [(1000 * i + k, "\n".join([line(12), line(33), *passage, line(28), line(7)])) for i in range(3) for k, passage in enumerate(passages)]
+    got = rows_of(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    for k, passage in enumerate(passages):
+        assert "\n".join(passage) in got[k]["text"]
+        for i in (1, 2):
+            left = got[1000 * i + k]["text"].split("\n")
+            assert not any(x in left for x in passage if x) and sum(map(bool, left)) == 4
+
+
 def test_lines_repeated_in_one_text_keep_the_first(spark):
     text = "\n".join(["a line of six words only"] * 30)
     got = remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
