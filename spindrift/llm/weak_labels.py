@@ -37,6 +37,8 @@ ANY = re.compile(r"(?<!\w)(?:" + "|".join(sorted(PERSONS.split() + CONTEMPT.spli
 QUALITY = ["symbols", "repeats", "lines", "variety", "capitals", "letters", "sentences"]
 TOXIC = ["persons", "contempt", "kinds", "density"]
 BUCKETS = 16
+#: Whether str.isupper holds, by code; the last entry, which is none, stands for all codes beyond.
+IS_CAPITAL = np.array([chr(i).isupper() for i in range(0x20000)])
 #: Whole words, and their first bytes: each kind has columns of its own.
 PREFIXES = (None, 4, 5)
 
@@ -45,19 +47,24 @@ def vote(bad: bool, good: bool) -> int:
     return 0 if bad else 1 if good else -1
 
 
+def count_capitals(text: str) -> int:
+    """Characters of the whole text for which str.isupper holds."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(np.count_nonzero(IS_CAPITAL[np.minimum(codes, len(IS_CAPITAL) - 1)]))
+
+
 def measure(text: str) -> tuple[list[int], list[int], list[int]]:
     """Votes on quality and on toxicity, and buckets (0 to BUCKETS - 1) of the shares that labellers look at."""
     n_words, chars, symbols, dup_lines, repeated, n_lines = text_counts(text)
     n, c = max(1, n_words), max(1, chars)
     lower = text.lower()
     distinct = len(set(lower.split()))
-    capitals = sum(map(str.isupper, text[:: max(1, len(text) // 2000)])) if not lower == text else 0
-    seen = max(1, len(text[:: max(1, len(text) // 2000)]))
+    capitals = count_capitals(text) if not lower == text else 0
     marks = sum(map(text.count, ".!?"))
     insults = ANY.findall(lower)
     kinds = len(set(insults))
     persons, contempt = (sum(w in x for w in insults) for x in LISTS[:2])
-    shares = [symbols / n, repeated / n, dup_lines / max(1, n_lines), distinct / n, capitals / seen, (c - symbols) / c, marks / n]
+    shares = [symbols / n, repeated / n, dup_lines / max(1, n_lines), distinct / n, capitals / max(1, len(text)), (c - symbols) / c, marks / n]
     prose = n_words < 50 or marks > 0.02 * n_words
     quality = [
         vote(shares[0] > 0.1, False),

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.line_chunks import Chunker, op8_line_chunks, remove_repeats
 from spindrift.llm.quality_rules import OP2_SQL, keep_good, op2_host_quality, quality_rules, text_counts
-from spindrift.llm.weak_labels import classify, expectation_maximisation, op3_weak_label_quality
+from spindrift.llm.weak_labels import BUCKETS, classify, expectation_maximisation, measure, op3_weak_label_quality
 from tests_shared import rows_of, same_as_sql
 
 
@@ -120,6 +120,13 @@ def test_expectation_maximisation_finds_the_accuracies():
     assert np.allclose(got.accuracy(), [0.9, 0.8, 0.7, 0.85], atol=0.03) and abs(got.prior - 0.3) < 0.03
 
 
+def test_capitals_are_counted_over_whole_texts():
+    for unit, share in (("Ab", 0.5), ("Éb", 0.5), ("ab cd ef G", 0.1), ("ǅ𝐀ⅣⒶaßª中", 0.375), ("", 0.0)):
+        for n in (1, 3, 2000, 3001):
+            quality, _, buckets = measure(unit * n)
+            assert buckets[4] == min(BUCKETS - 1, int(share * (BUCKETS - 1) + 0.999)) and (quality[4] == 0) == (share > 0.3)
+
+
 def test_op3_on_labels_kept_back(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
