@@ -170,8 +170,8 @@ def spell_candidates(spark, sf):
 
 @query()
 def spell_corrections(spark, sf):
-    vocab = doc_words(spark, sf).where("token RLIKE '^[a-z]{4,9}$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
-    return S.corrections(vocab.where("freq = 1 AND length(token) >= 5").select("token"), vocab.where("freq >= 5").select(F.col("token").alias("candidate"), "freq"))
+    vocab = doc_words(spark, sf).where("token RLIKE '^[a-z]{3,}$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
+    return S.corrections(vocab.where("freq = 1 AND length(token) >= 4").select("token"), vocab.where("freq >= 5").select(F.col("token").alias("candidate"), "freq"))
 
 
 def _structured(spark, sf):

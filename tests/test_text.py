@@ -61,5 +61,16 @@ def test_correction_takes_the_much_more_frequent(spark):
     assert got == {"принтэр": ("принтер", "high"), "бумагаа": ("бумага", "high")}
 
 
+def test_words_of_any_length_are_corrected(spark, tmp_path):
+    from spindrift.plans.search import spell_corrections
+
+    right = "internationalization nut bolt " + "q" * 61
+    wrong = "internationalizatoin nuut bolf " + "q" * 60 + "w"
+    rows = [(i, right) for i in range(6)] + [(6, wrong)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["token"]: r["corrected"] for r in spell_corrections(spark, str(tmp_path)).collect()}
+    assert got == dict(zip(wrong.split(), right.split(), strict=True))
+
+
 def test_dictionary_replaces_whole_words(spark):
     assert one(spark, lambda x: S.dictionary(x, {"принтэр": "принтер", "a.b": "c"}), "принтэр принтэрный") == "принтер принтэрный"
