@@ -40,9 +40,14 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
 
 
 def shared_uri(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or for tests, where it is unset, a temporary one that is set on the session's context."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a temporary one that is set on the session's context.
+
+    A cluster without spark.checkpoint.dir raises an error, as its nodes have no folder in common.
+    """
     uri = spark.conf.get("spark.checkpoint.dir", None)
     if not uri:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         uri = getattr(shared_uri, "own", None)
         if not uri or not os.path.isdir(urlparse(uri).path):
             folder = tempfile.mkdtemp(prefix="spindrift-")
@@ -76,6 +81,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, size: F.Column, most: int) -> DataFrame:
+    """A settled table, to be broadcast if the sizes of its rows, in bytes, add up to at most `most`."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or if the table has such a column, the name with the first number that is free."""
+    taken, n = {c.lower() for c in df.columns}, 0
+    while (found := f"{name}_{n}" if n else name).lower() in taken:
+        n += 1
+    return found
+
+
 def publish(path: str, data: bytes) -> None:
     """Write a file in one step: a retried or speculative task replaces it by equal bytes, a reader never sees a part."""
     part = f"{path}.{uuid.uuid4().hex}"

@@ -1,7 +1,8 @@
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
-from spindrift.llm.line_chunks import Chunker, op8_line_chunks, remove_repeats
+from spindrift.llm.line_chunks import BASE, Chunker, op8_line_chunks, remove_repeats
 from spindrift.llm.quality_rules import OP2_SQL, keep_good, op2_host_quality, quality_rules, text_counts
 from spindrift.llm.weak_labels import BUCKETS, classify, expectation_maximisation, measure, op3_weak_label_quality
 from tests_shared import rows_of, same_as_sql
@@ -31,37 +32,98 @@ def test_awkward_rows_are_judged(awkward, nothing):
     assert keep_good(awkward).columns == awkward.columns and keep_good(nothing).collect() == []
 
 
-def brute_chunks(texts):
-    """Chunks in order of documents: a class keeps its first document's first place."""
-    chunker, keeper, out = Chunker(), {}, {}
-    for d in sorted(texts):
-        lines, gone, ends = (texts[d] or "").split("\n"), set(), {}
-        for a, b in chunker.cut(lines):
-            chunk = "\n".join(lines[a:b])
-            if a < ends.get(chunk, 0):
-                continue
-            if chunk in ends or keeper.setdefault(chunk, d) != d:
-                gone |= set(range(a, b))
-            ends[chunk] = b
-        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else texts[d]
-    return out
+def brute_cuts(lines, chunk_words=25, spread_words=25):
+    """Chunks by the definition alone: no deque, no prefix sums."""
+    size = [len(x.split()) for x in lines]
+
+    def end(i, words):
+        return next((e for e in range(i + 1, len(lines) + 1) if sum(size[i:e]) >= words), None)
+
+    def rolling(i):
+        h = 0
+        for x in lines[i : end(i, chunk_words)]:
+            h = (h * BASE + xxhash.xxh64_intdigest(x.encode())) % 2**64
+        return h
+
+    starts = set()
+    for i in range(len(lines)):
+        if size[i] and (e := end(i, spread_words)):
+            some = [(rolling(j), j) for j in range(i, e) if size[j] and end(j, chunk_words)]
+            if some:
+                starts.add(min(some)[1])
+    return [(i, end(i, chunk_words)) for i in sorted(starts)]
+
+
+def brute_removal(texts, spread_words=25, chunk_words=25):
+    """What stays of each text {id: text}: places of equal chunks but the least go, and lines beside them that equal those beside the least."""
+    split = {d: (t or "").split("\n") for d, t in texts.items()}
+    cuts = {d: brute_cuts(x) for d, x in split.items()}
+    places = {}
+    for d in sorted(split):
+        ends = {}
+        for n, (a, b) in enumerate(cuts[d]):
+            chunk = "\n".join(split[d][a:b])
+            if a >= ends.get(chunk, 0):
+                ends[chunk] = b
+                places.setdefault(chunk, []).append((d, n))
+    places = {c: x for c, x in places.items() if len(x) > 1}
+    held = {d: set() for d in split}
+    for at in places.values():
+        for d, n in at:
+            held[d] |= set(range(*cuts[d][n]))
+    gone = {d: set() for d in split}
+    for at in places.values():
+        k, kn = at[0]
+        ka, kb = cuts[k][kn]
+        for d, n in at[1:]:
+            a, b = cuts[d][n]
+            gone[d] |= set(range(a, b))
+            for step, own, other, words in ((-1, a - 1, ka - 1, spread_words - 1), (1, b, kb, chunk_words + spread_words - 2)):
+                some = []
+                while 0 <= own < len(split[d]) and 0 <= other < len(split[k]) and len(some) < 64:
+                    line = split[k][other]
+                    words -= len(line.split())
+                    if len(line.split()) >= spread_words or words < 0 or d == k and own in held[d] or split[d][own] != line:
+                        break
+                    some.append(own)
+                    own, other = own + step, other + step
+                while some and not split[d][some[-1]].split():
+                    some.pop()
+                gone[d] |= set(some)
+    return {d: "\n".join(x for i, x in enumerate(split[d]) if i not in gone[d]) if gone[d] else texts[d] for d in split}
+
+
+def test_chunks_equal_their_definition():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        lines = [" ".join(f"w{r.integers(40)}" for _ in range(r.integers(0, int(r.choice([3, 12, 40]))))) for _ in range(r.integers(0, 30))]
+        assert [(a, b) for a, b, _ in Chunker().cut(lines)] == brute_cuts(lines)
 
 
 def test_op8_equals_brute_force(spark, sf, texts):
-    want = brute_chunks(texts)
-    assert {r["doc_id"]: r["text"] for r in op8_line_chunks(spark, sf).collect()} == want
+    want = brute_removal(texts)
+    assert {r["doc_id"]: r["text"] for r in op8_line_chunks(spark, sf).collect()} == want and want != texts
 
 
 def test_shuffled_joins_give_the_same(spark, sf, texts):
     got = remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), most_broadcast=-1)
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_chunks(texts)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_removal(texts)
+
+
+def test_made_up_repeats_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    line = lambda: " ".join(f"w{r.integers(10**6)}" for _ in range(r.integers(0, int(r.choice([2, 10, 30])))))
+    pool = [[line() for _ in range(r.integers(1, 12))] for _ in range(12)]
+    texts = {i: "\n".join(x for part in r.choice(len(pool), 4) for x in [*pool[part], *(line() for _ in range(r.integers(0, 4)))]) for i in range(60)}
+    got = remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_removal(texts)
 
 
 def test_boundaries_resist_shifts():
     lines = [f"line number {i} of the passage, with a few words" for i in range(60)]
-    a = {"\n".join(lines[x:y]) for x, y in Chunker().cut(lines)}
+    a = {"\n".join(lines[x:y]) for x, y, _ in Chunker().cut(lines)}
     b = Chunker().cut(["put in front", *lines])
-    shifted = {"\n".join(["put in front", *lines][x:y]) for x, y in b}
+    shifted = {"\n".join(["put in front", *lines][x:y]) for x, y, _ in b}
     assert len(a & shifted) >= len(a) - 2
 
 
@@ -107,8 +169,18 @@ def test_lines_repeated_in_one_text_keep_the_first(spark):
 
 def test_line_dedup_of_awkward_rows(awkward, nothing):
     done = remove_repeats(awkward)
-    assert done.columns == [*[c for c in awkward.columns], "removed"] or done.count() == awkward.count()
-    assert remove_repeats(nothing.drop("removed")).collect() == []
+    assert done.columns == [*awkward.columns, "removed_1"] and done.count() == awkward.count()
+    kept = {(r["doc_id"], r["text"]) for r in done.select("doc_id", "text").collect()}
+    assert (3, None) in kept and (4, "") in kept and (5, " \t\n ") in kept and (None, None) in kept
+    assert remove_repeats(nothing).collect() == [] and remove_repeats(nothing.drop("removed")).columns[-1] == "removed"
+
+
+def test_line_dedup_keeps_the_least_place(spark):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows = [(None, passage), (2, f"other words\n{passage}"), (1, f"{passage}\nmine\n{passage}"), (1, f"{passage}\nof the same id"), (3, passage), (3, passage)]
+    got = {(r["doc_id"], r["text"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, t in got if passage in t} == {1} and (2, "other words") in got and (None, "") in got and (3, "") in got
+    assert sum(t.count(passage) for _, t in got) == 1
 
 
 def test_expectation_maximisation_finds_the_accuracies():
