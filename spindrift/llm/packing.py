@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from spindrift.llm.shared import columns, documents, frames, hold, strings, tokenizer_path
+from spindrift.llm.shared import columns, documents, frames, free_name, hold, settle, strings, tokenizer_path
 
 #: Letters and white space of Latin-1, after lower-casing.
 LETTERS, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "\t-\r \x85\xa0"
@@ -136,25 +137,36 @@ class OpenBins:
         return number
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 128, partitions: int | None = None) -> DataFrame:
+def packing_order(pieces: DataFrame) -> list[F.Column]:
+    """An order by the pieces' values alone, mixed by a hash, so that long and short pieces come in turns. Rows that it can't tell apart are equal but for columns that it doesn't read."""
+    keys = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    return [F.xxhash64("length", *keys), F.col("length"), *[F.col(c) for c in keys]]
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 256, task_tokens: int = 1 << 26) -> DataFrame:
     """`pieces` (any columns, `length` among them) with sequence_id and offset: the place of each piece, gapless within its sequence.
 
-    Each of `partitions` tasks (an eighth of Spark's shuffle partitions by default, so it grows with what the cluster is set up for)
-    packs its share in one pass with `open_bins` bins and no other state. Rows are dealt out evenly whatever their keys, in an order
-    fixed by their values, so a task that runs again packs as before. Lengths must be from 1 to `capacity`; null lengths raise an error.
+    The pieces are written to the shared folder first and their tokens are added up, so the number of tasks follows from the data: each
+    packs about `task_tokens` tokens in one pass with `open_bins` bins and no other state. Rows are dealt out evenly whatever their keys,
+    and sorted within a task (packing_order), so a task that runs again packs as before, however its rows arrive. Ties and repeated rows
+    have places of their own; null ids are packed like others; an empty table gives an empty one. Where `pieces` has a column sequence_id
+    or offset, the new one gets the next free number (sequence_id_1). Lengths must be from 1 to `capacity`; null lengths raise an error.
     """
-    spark = pieces.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    pieces = settle(pieces)
+    total = pieces.agg(F.sum("length")).first()[0] or 0
+    n = max(1, -(-total // task_tokens))
+    added = [free_name(pieces, "sequence_id"), free_name(pieces, "offset")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), *(f"`{c}` long" for c in added)])
+    at = pieces.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            places = [bins.place(x) for x in batch.column("length").to_pylist()]
+            places = [bins.place(x) for x in batch.column(at).to_pylist()]
             number, offset = zip(*places, strict=True) if places else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + x for x in number], pa.int64()), pa.array(offset, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + x for x in number], pa.int64()), pa.array(offset, pa.int64())], [*batch.schema.names, *added])
 
-    return pieces.repartition(n).mapInArrow(run, schema)
+    return pieces.repartition(n).sortWithinPartitions(*packing_order(pieces)).mapInArrow(run, schema)
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
