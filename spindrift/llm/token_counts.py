@@ -6,12 +6,13 @@ ragged array of piece ids. In each round, every sequence looks up its adjacent p
 (leftmost of equals, as the library's agenda does) and merges it; all sequences do so at once. Sequences without a pair are counted
 and leave the array. A worker keeps counts of pre-tokens it has seen, up to `cache` of them.
 
-Pre-tokens of more than `LONG` characters would need as many rounds as they have characters; these take the same merges from a heap.
+In a round, a pair is merged as well if no pair of lower rank (or equal rank, on its left) is within `reach` symbols of it, the length of
+the longest piece. What such a pair could set off before stays in the one symbol that grows from it, which never has more characters than
+that, so it can't reach this pair: the merges are those of the agenda, and a long sequence takes many of them in a round.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 from spindrift.llm.shared import columns, frames, hold, strings, tokenizer_path
 
 MARK = "▁"
-LONG = 4096
 NONE = np.int64(1 << 40)
 
 
@@ -50,6 +50,7 @@ class MergeTable:
         order = np.argsort(keys)
         self.size, self.keys, self.made = size, np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
         self.rank = rank[self.made].astype(np.int64)
+        self.reach = max(map(len, normal), default=1)
         self.char = {p: i for p, i in normal.items() if len(p) == 1}
         self.of_code = np.full(0x110000, -1, np.int64)
         for c, i in self.char.items():
@@ -61,18 +62,30 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NONE), at
 
-    def count(self, sequences: list[str]) -> np.ndarray:
-        """Tokens of each pre-token."""
+    def count(self, sequences: list[str], step: int = 1_000_000) -> np.ndarray:
+        """Tokens of each pre-token; about `step` characters at a time."""
         total = np.zeros(len(sequences), np.int64)
-        short = [i for i, s in enumerate(sequences) if len(s) <= LONG]
-        for i, s in enumerate(sequences):
-            if len(s) > LONG:
-                total[i] = self._by_heap(s)
-        for start in range(0, len(short), 100_000):
-            part = short[start : start + 100_000]
-            total[part] = self._by_rounds([sequences[i] for i in part])
+        first, size = 0, 0
+        for i, x in enumerate(sequences):
+            size += len(x)
+            if size >= step or i + 1 == len(sequences):
+                total[first : i + 1] = self._by_rounds(sequences[first : i + 1])
+                first, size = i + 1, 0
         return total
 
+    def _alone(self, rank: np.ndarray) -> np.ndarray:
+        """Places of pairs without one of lower rank, or of equal rank on the left, within `reach`."""
+        n, r = len(rank), self.reach
+        least = np.full(n + 2 * r, NONE)
+        least[r : r + n] = rank
+        width, left = 1, None
+        while width < r:  # least of stretches of r, from each place on
+            more = min(width, r - width)
+            least[: len(least) - more] = np.minimum(least[: len(least) - more], least[more:])
+            width += more
+        left, right = least[:n], least[r + 1 : r + 1 + n]
+        return np.flatnonzero((rank < left) & (rank <= right) & (rank < NONE))
+
     def _symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the characters, -1 for those that are no piece, and the bytes beyond one of each of the latter."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -104,8 +117,10 @@ class MergeTable:
                     break
             hit = np.flatnonzero(rank == np.repeat(lowest, sizes))
             hit = hit[np.r_[True, owner[hit][1:] != owner[hit][:-1]]]  # the leftmost of each sequence
+            if sizes.max() > 2 * self.reach:
+                hit = np.union1d(hit, self._alone(rank))
             flat[hit] = self.made[at[hit]]
-            counts[owner[hit]] -= 1
+            np.subtract.at(counts, owner[hit], 1)
             keep = np.ones(len(flat), bool)
             keep[hit + 1] = False
             moved = (np.cumsum(keep) - 1)[hit]
@@ -117,35 +132,6 @@ class MergeTable:
                 rank[left[(right == left) | (owner[left] != owner[right])]] = NONE
         return counts + extra
 
-    def _by_heap(self, text: str) -> int:
-        ids, more = self._symbols(text)
-        ids, extra, n = ids.tolist(), int(more.sum()), len(ids)
-        table = self.__dict__.setdefault("lookup", {})
-        if not table:
-            table.update(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
-        before, after, gone, heap = list(range(-1, n - 1)), list(range(1, n + 1)), bytearray(n), []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and ids[i] >= 0 and ids[j] >= 0 and (found := table.get(ids[i] * self.size + ids[j])):
-                heapq.heappush(heap, (found[0], i, j, ids[i], ids[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        left = n
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if gone[i] or gone[j] or after[i] != j or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], gone[j], after[i] = made, 1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            left -= 1
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return left + extra
-
 
 class Counter:
     """Counts texts; one for each worker and model."""

@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from spindrift.llm.packing import OpenBins, WordIds, op5_best_fit_packing, pack, token_pieces
+from spindrift.llm.packing import OpenBins, WordIds, op5_best_fit_packing, pack, packing_order, token_pieces
 from spindrift.llm.shared import tokenizer_path
 from spindrift.llm.token_counts import Counter, count_tokens, op7_token_counts
 
@@ -16,7 +16,7 @@ LETTERS = " \n\t▁abcdeéßÉ中文😀<>s/|0x1A'Σİ  theing.,́\x1c\x85\xa0\x
 
 def scraps(n):
     r = random.Random(7)
-    return ["".join(r.choice(LETTERS) for _ in range(r.randint(0, 50))) for _ in range(n)] + ["", " ", "  ", "a" * 5000, " " * 5000, "ab" * 4000, "<s> </s> <0x0A>", "<|endoftext|>", "don't 'tis"]
+    return ["".join(r.choice(LETTERS) for _ in range(r.randint(0, 50))) for _ in range(n)] + ["", " ", "  ", "a" * 5000, " " * 5000, "ab" * 4000, *("".join(r.choice(letters) for _ in range(size)) for letters in ("ab", "the", "ingthe", "abcdefghijklmnopqrstuvwxyz", LETTERS.replace(" ", "")) for size in (300, 5000, 40_000)), "<s> </s> <0x0A>", "<|endoftext|>", "don't 'tis"]
 
 
 def test_counts_equal_the_library():
@@ -68,12 +68,49 @@ def test_op5_on_the_table(spark, sf, texts):
         assert r["start"] == 4096 * r["piece"] and r["length"] == min(4096, len(ids) - r["start"])
         assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
         total += r["length"]
-    assert len(check_packed(rows, 4096)) <= 1.1 * total / 4096 + 1
+    assert len(check_packed(rows, 4096)) <= 1.05 * total / 4096 + 1
+
+
+def naive_places(lengths, capacity, most):
+    """Best-fit by its words: a list of open bins that is searched whole each time."""
+    open_, out, opened = [], [], 0  # [room, number]
+    for x in lengths:
+        fitting = [b for b in open_ if b[0] >= x]
+        if fitting:
+            room = min(b[0] for b in fitting)
+            best = [b for b in fitting if b[0] == room][-1]
+            open_.remove(best)
+        else:
+            if len(open_) == most:
+                least = min(b[0] for b in open_)
+                open_.remove([b for b in open_ if b[0] == least][-1])
+            best, opened = [capacity, opened], opened + 1
+        out.append((best[1], capacity - best[0]))
+        best[0] -= x
+        if best[0]:
+            open_.append(best)
+    return out
+
+
+def test_op5_equals_naive_bins(spark, sf):
+    rows = op5_best_fit_packing(spark, sf)
+    ordered = rows.orderBy(*packing_order(rows)).collect()
+    want = naive_places([r["length"] for r in ordered], 4096, 256)
+    assert [(r["sequence_id"] & (1 << 40) - 1, r["offset"]) for r in ordered] == want and len({r["sequence_id"] >> 40 for r in ordered}) == 1
+
+
+def test_tasks_pack_their_share(spark):
+    pieces = spark.range(20_000).selectExpr("id AS doc_id", "1 + pmod(xxhash64(id), 500) AS length", "'mine' AS sequence_id", "true AS offset")
+    got = pack(pieces, 512, 8, task_tokens=1 << 20)
+    assert got.columns == ["doc_id", "length", "sequence_id", "offset", "sequence_id_1", "offset_1"]
+    rows = [{"sequence_id": r["sequence_id_1"], "offset": r["offset_1"], "length": r["length"]} for r in got.collect()]
+    assert len(rows) == 20_000 and len({r["sequence_id"] >> 40 for r in rows}) == 5 and len(check_packed(rows, 512)) <= 1.1 * sum(r["length"] for r in rows) / 512
+    assert sorted(map(str, got.collect())) == sorted(map(str, got.collect()))
 
 
 def test_packing_of_awkward_rows(awkward, nothing):
     pieces = token_pieces(awkward, WORDS, capacity=64, with_ids=True)
-    rows = pack(pieces, capacity=64, open_bins=3, partitions=2).collect()
+    rows = pack(pieces, capacity=64, open_bins=3, task_tokens=1 << 16).collect()
     check_packed(rows, 64)
     assert sum(r["length"] == 1 and r["ids"] == [1] for r in rows) >= 3
     assert pack(token_pieces(nothing, WORDS)).collect() == []
