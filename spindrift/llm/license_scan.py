@@ -5,19 +5,26 @@ same hash. A hit at word p of the text and word t of the template votes for diag
 diagonal, and on neighbouring ones where words were put in or left out. Votes are added up by text, template and diagonal; neighbouring
 diagonals are merged; and the stretch of words that they span is cut out of the text and compared with the template by edit distance.
 
-The templates are the constants below, so their side of the join is broadcast. Spans found are counted before they are joined back to the
-texts for the comparison: up to `most_broadcast` are broadcast, more are joined by a shuffle.
+A chain of neighbouring diagonals may be of any length, as where notices with the same words follow each other. It is cut at its densest
+diagonals: one with most votes of those within half a template's length (the least diagonal of equals) makes a stretch with all of these,
+so a stretch has at most the words of two templates, and none of a notice is cut off. The words on the densest diagonal alone, as many as the
+template has, are compared as well, and the better of the two counts.
+
+The templates are the constants below, so their side of the join is broadcast, and what later steps need of them is looked up in a literal.
+Spans found are added up before they are joined back to the texts for the comparison: up to `most_broadcast` bytes are broadcast, more are
+joined by a shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm.shared import columns, documents, settle
+from spindrift.llm.shared import broadcast_if_small, columns, documents, settle
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -54,11 +61,20 @@ def run_hashes(words_: Column, k: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(words_, i + j) for j in range(k)]))
 
 
+def split_templates(templates: list[tuple[str, str]]) -> list[list[str]]:
+    """The words of each template, as `words` has them."""
+    return [[w for w in re.split(BETWEEN, text.translate(str.maketrans(UPPER, LOWER))) if w] for _, text in templates]
+
+
 def template_table(spark, templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """Rows template, label, t_words, t_pos, hash: one for each run of k words of each template."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
-    split = rows.select("template", "label", words(F.col("text")).alias("t_words"))
-    return split.select("template", "label", "t_words", F.posexplode(run_hashes(F.col("t_words"), k)).alias("t_pos", "hash"))
+    """Rows template, t_pos, hash: one for each run of k words of each template."""
+    rows = spark.createDataFrame(list(enumerate(split_templates(templates))), "template int, w array<string>")
+    return rows.select("template", F.posexplode(run_hashes(F.col("w"), k)).alias("t_pos", "hash"))
+
+
+def looked_up(values: list, template: Column) -> Column:
+    """The template's value, by its number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), template + 1)
 
 
 def phrase_starts(words_: Column, text: Column, phrase: str) -> Column:
@@ -71,25 +87,31 @@ def phrase_starts(words_: Column, text: Column, phrase: str) -> Column:
 
 
 def spans(docs: DataFrame, templates: list[tuple[str, str]], k: int = 3, gap: int = 3, share: float = 0.6) -> DataFrame:
-    """Rows doc_id, text_hash, template, label, t_words, start, length: stretches of texts that hold a template's runs.
+    """Rows doc_id, text_hash, template, start, length, diagonal: stretches of texts that hold a template's runs, and their densest diagonals.
 
-    `docs` has doc_id and text. Diagonals of a text and template that differ by at most `gap` are one stretch; it counts if at least
-    `share` of the template's runs vote for it. A stretch is at most twice as long as its template, counted from its first vote.
+    `docs` has doc_id, text_hash and w, the text's words. Diagonals of a text and template that differ by at most `gap` are one chain, which
+    is cut at its densest diagonals; a stretch counts if at least `share` of the template's runs vote for it.
     """
     table = F.broadcast(template_table(docs.sparkSession, templates, k))
-    runs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.posexplode(run_hashes(F.col("w"), k)).alias("pos", "hash"))
+    runs = docs.select("doc_id", "text_hash", F.posexplode(run_hashes(F.col("w"), k)).alias("pos", "hash"))
     hits = runs.join(table, "hash")
     by = ["doc_id", "text_hash", "template"]
-    votes = hits.groupBy(*by, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("voted"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("label").alias("label"), F.first("t_words").alias("t_words"))
+    votes = hits.groupBy(*by, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("voted"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     order = Window.partitionBy(*by).orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1))
-    merged = votes.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(*by, "stretch").agg(F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("voted"), F.min("first").alias("start"), F.max("last").alias("last"), F.first("label").alias("label"), F.first("t_words").alias("t_words"))
-    enough = F.col("voted") >= F.lit(share) * (F.size("t_words") - (k - 1))
-    return merged.where(enough).select("doc_id", "text_hash", "template", "label", "t_words", "start", F.least(F.col("last") - F.col("start") + k, 2 * F.size("t_words")).alias("length"))
-
-
-def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, k: int = 3, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 50_000) -> DataFrame:
+    chained = votes.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = [len(w) for w in split_templates(templates)]
+    most = max(sizes, default=0) // 2
+    beside = Window.partitionBy(*by, "chain").orderBy("diagonal").rangeBetween(-most, most)
+    half = looked_up([n // 2 for n in sizes], F.col("template"))
+    around = F.filter(F.collect_list(F.struct(F.size("voted").alias("n"), (-F.col("diagonal")).alias("d"), "voted", "first", "last")).over(beside), lambda x: F.abs(x["d"] + F.col("diagonal")) <= half)
+    dense = chained.withColumn("around", around).where(F.array_max(F.transform("around", lambda x: F.struct(x["n"], x["d"]))) == F.struct(F.size("voted"), -F.col("diagonal")))
+    start, last = F.array_min(F.transform("around", lambda x: x["first"])), F.array_max(F.transform("around", lambda x: x["last"]))
+    enough = F.size(F.array_distinct(F.flatten(F.transform("around", lambda x: x["voted"])))) >= F.lit(share) * looked_up([n - (k - 1) for n in sizes], F.col("template"))
+    return dense.where(enough).select(*by, start.alias("start"), (last - start + k).alias("length"), "diagonal")
+
+
+def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, k: int = 3, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 32 << 20) -> DataFrame:
     """Rows doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and matches (label, start, length, similarity), for each row.
 
     n_base counts all places of the phrases, first_word and last_word are the smallest and largest (null without one). Labels are distinct,
@@ -98,17 +120,25 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     words. Rows that share an id and a text have equal results; null ids are kept. Other columns aren't read.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    own = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    found = settle(spans(own, templates, k).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "template", "length", "label", "t_words"))).alias("spans")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}))
-    if found.count() <= most_broadcast:
-        found = F.broadcast(found)
-    texts = own.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    joined = texts.join(found, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "spans", words(F.col("text")).alias("w"))
+    text = F.coalesce("text", F.lit(""))
+    own = columns(docs, doc_id=id_col, text=text_col).select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), words(F.col("text")).alias("w"))
+    found = settle(spans(own, templates, k).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "template", "length", "diagonal"))).alias("spans")))
+    found = broadcast_if_small(found, F.lit(32) + 16 * F.size("spans"), most_broadcast)
+    joined = own.join(found, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "spans", "w")
+    wholes = [" ".join(w) for w in split_templates(templates)]
+
+    sizes = [len(w) for w in split_templates(templates)]
 
     def match(s: Column) -> Column:
-        there, wanted = F.array_join(F.slice("w", s["start"] + 1, s["length"]), " "), F.array_join(s["t_words"], " ")
-        alike = 1 - F.levenshtein(there, wanted) / F.greatest(F.length(there), F.length(wanted))
-        return F.struct(s["label"].alias("label"), s["start"].alias("start"), s["length"].alias("length"), F.round(alike, 6).alias("similarity"))
+        wanted = looked_up(wholes, s["template"])
+
+        def compared(start: Column, length: Column) -> Column:
+            there = F.array_join(F.slice("w", start + 1, length), " ")
+            alike = 1 - F.levenshtein(there, wanted) / F.greatest(F.length(there), F.length(wanted))
+            return F.struct(F.round(alike, 6).alias("similarity"), start.alias("start"), length.alias("length"))
+
+        best = F.array_max(F.array(compared(s["start"], s["length"]), compared(F.greatest(s["diagonal"], F.lit(0)), looked_up(sizes, s["template"]))))
+        return F.struct(looked_up([label for label, _ in templates], s["template"]).alias("label"), best["start"].alias("start"), best["length"].alias("length"), best["similarity"].alias("similarity"))
 
     matches = F.filter(F.transform("spans", match), lambda m: m["similarity"] >= least)
     starts = {label: phrase_starts(F.col("w"), F.col("text"), phrase) for phrase, label in phrases.items()}
@@ -146,9 +176,15 @@ dg AS (SELECT r, i AS pos, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g F
 votes AS (SELECT r, template, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS voted, min(pos) AS first, max(pos) AS last FROM dg JOIN tg USING (g) GROUP BY ALL),
 cut AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS apart FROM votes),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS stretch FROM cut),
-merged AS (SELECT r, template, len(list_distinct(flatten(list(voted)))) AS voted, min(first) AS start, max(last) AS last FROM numbered GROUP BY r, template, stretch),
+sizes AS (SELECT template, label, w, len(w) // 2 AS half FROM t),
+around AS (
+  SELECT a.r, a.template, a.diagonal, any_value(len(a.voted)) AS n, max(struct_pack(n := len(b.voted), d := -b.diagonal)) AS best,
+         len(list_distinct(flatten(list(b.voted)))) AS voted, min(b.first) AS start, max(b.last) AS last
+  FROM numbered a JOIN numbered b ON a.r = b.r AND a.template = b.template AND a.stretch = b.stretch JOIN sizes ON sizes.template = a.template
+  WHERE abs(a.diagonal - b.diagonal) <= half GROUP BY a.r, a.template, a.diagonal),
+merged AS (SELECT * FROM around WHERE best.n = n AND best.d = -diagonal),
 spans AS (
-  SELECT d.r, t.label, array_to_string(d.w[start + 1:start + least(last - start + 3, 2 * len(t.w))], ' ') AS a, array_to_string(t.w, ' ') AS b
+  SELECT d.r, t.label, unnest([array_to_string(d.w[start + 1:last + 3], ' '), array_to_string(d.w[greatest(diagonal, 0) + 1:greatest(diagonal, 0) + len(t.w)], ' ')]) AS a, array_to_string(t.w, ' ') AS b
   FROM merged JOIN t USING (template) JOIN d USING (r) WHERE voted >= 0.6::DOUBLE * (len(t.w) - 2)),
 alike AS (SELECT r, label, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS similarity FROM spans),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(similarity) AS best FROM alike WHERE similarity >= 0.7 GROUP BY r),

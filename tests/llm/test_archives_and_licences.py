@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spindrift.llm.license_scan import OP10_SQL, PHRASES, license_scan, op10_license_scan, words
+from spindrift.llm.license_scan import OP10_SQL, PHRASES, TEMPLATES, license_scan, op10_license_scan, words
 from spindrift.llm.warc import INDEX, OP6_SQL, Warc, op6_warc, page_records, read_archives, register
-from tests_shared import rows_of, same_as_sql
+from tests_shared import TABLES, rows_of, same_as_sql
 
 
 def test_op6_equals_sql(spark, sf):
@@ -122,6 +122,29 @@ def test_notices_are_found_with_changes(spark):
     assert {k: r["labels"] for k, r in few.items()} == {k: r["labels"] for k, r in got.items()}
 
 
+def test_chains_of_notices_equal_sql(spark, sf, tmp_path):
+    """Notices that follow each other, overlap or repeat their first words, so that chains of diagonals are long."""
+    import random
+
+    r, rows = random.Random(2), []
+    for i in range(150):
+        words_ = []
+        for _ in range(r.randint(1, 6)):
+            own = r.choice(TEMPLATES)[1].split()
+            cut = r.randint(0, len(own) - 1) if r.random() < 0.4 else 0
+            words_ += own[cut : r.randint(cut + 1, len(own))] if r.random() < 0.4 else own[cut:]
+            words_ += own[:3] * r.randint(0, 25) if r.random() < 0.4 else ["x"] * r.randint(0, 3)
+        rows.append((i, " ".join(words_)))
+    for t in TABLES:
+        os.symlink(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet") if t != "documents" else None
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    os.rename(next(tmp_path.glob("d/*.parquet")), tmp_path / "documents.parquet")
+    same_as_sql(op10_license_scan(spark, str(tmp_path)), OP10_SQL, str(tmp_path))
+    last = "licensed under the " * 200 + TEMPLATES[1][1]
+    got = license_scan(spark.createDataFrame([(1, last)], "doc_id long, text string")).first()
+    assert "apache-2.0" in got["labels"] and any(m["similarity"] > 0.95 for m in got["matches"])
+
+
 def test_awkward_rows(awkward, nothing):
     rows = license_scan(awkward).collect()
     assert len(rows) == awkward.count()
