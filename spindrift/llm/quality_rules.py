@@ -81,13 +81,14 @@ def host_verdicts(counted: DataFrame, host: str, prefix: str = "", strict_rate:
         some = some | f
     marks["any"] = some
     hosts = settle(counted.select(F.col(host).alias("host"), *[f.cast("long").alias(k) for k, f in marks.items()]).groupBy("host").agg(F.count("*").alias("n_docs"), *[F.sum(k).alias(k) for k in marks]))
-    total = hosts.agg(F.sum("n_docs").alias("n"), *[F.sum(k).alias(k) for k in marks])
-    moments = total.first()
+    totals = hosts.agg(F.sum("n_docs").alias("n"), *[F.sum(k).alias(k) for k in marks])
+    rates = {k: F.coalesce(F.try_divide(f"all_{k}", "all_n"), F.lit(0.0)) for k in marks}
+    with_totals = hosts.join(F.broadcast(totals.select(*[F.col(c).alias(f"all_{c}") for c in totals.columns])))
+    moments = with_totals.agg(F.first("all_n").alias("n"), *[F.first(m).alias(f"m_{k}") for k, m in rates.items()], *[F.sum(F.col("n_docs") * (F.col(k) / F.col("n_docs") - m) ** 2).alias(f"v_{k}") for k, m in rates.items()]).first()
     out = hosts
     for k in marks:
-        m = (moments[k] or 0) / moments["n"] if moments["n"] else 0.0
-        v = hosts.agg(F.sum(F.col("n_docs") * (F.col(k) / F.col("n_docs") - m) ** 2)).first()[0]
-        v = (v or 0.0) / moments["n"] if moments["n"] else 0.0
+        m = moments[f"m_{k}"] or 0.0
+        v = (moments[f"v_{k}"] or 0.0) / moments["n"] if moments["n"] else 0.0
         s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
         out = out.withColumn(f"rate_{k}", (F.col(k) + m * s) / (F.col("n_docs") + s))
     return out.select("host", "n_docs", *[f"rate_{k}" for k in marks], *[(F.col(f"rate_{k}") > strict_rate).alias(f"strict_{k}") for k in marks if k != "any"], (F.col("rate_any") > reject_rate).alias("rejected"))
@@ -130,7 +131,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
 
 
 def op2_host_quality(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).select("doc_id", "host", *[F.col(c).cast("long") for c in COUNTS], "base_failed", "host_rejected", "failed_rule", "kept")
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", *[F.col(c).cast("long") for c in ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]], "base_failed", "kept", "host", F.col("n_lines").cast("long"), "host_rejected", "failed_rule")
 
 
 #: The same in DuckDB SQL.
@@ -175,8 +176,8 @@ j AS (
          WHEN symbols OR (strict_symbols AND symbols2) THEN 'symbols' WHEN lines OR (strict_lines AND lines2) THEN 'lines'
          WHEN rejected THEN 'host' END AS failed_rule
   FROM f JOIN verdict ON f.host IS NOT DISTINCT FROM verdict.host)
-SELECT doc_id, host, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, n_lines::BIGINT AS n_lines, base_failed,
-       rejected AS host_rejected, failed_rule, failed_rule IS NULL AS kept
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, failed_rule IS NULL AS kept,
+       host, n_lines::BIGINT AS n_lines, rejected AS host_rejected, failed_rule
 FROM j
 """
