@@ -40,7 +40,7 @@ BUCKETS = 16
 #: Whether str.isupper holds, by code; the last entry, which is none, stands for all codes beyond.
 IS_CAPITAL = np.array([chr(i).isupper() for i in range(0x20000)])
 #: Whole words, and their first bytes: each kind has columns of its own.
-PREFIXES = (None, 4, 5)
+PREFIXES = (None, 5, 7)
 
 
 def vote(bad: bool, good: bool) -> int:
@@ -158,7 +158,7 @@ class Scorer:
         return np.add.reduceat(self.weights[column], np.cumsum(sizes) - sizes) + self.weights[-1] if len(sizes) else np.zeros(0)
 
 
-def train(column: np.ndarray, sizes: np.ndarray, target: np.ndarray, use: np.ndarray, features: int, least_z: float = 4.0, least_odds: float = 6.0, epochs: int = 150, rate: float = 0.1, l2: float = 5e-4) -> Scorer:
+def train(column: np.ndarray, sizes: np.ndarray, target: np.ndarray, use: np.ndarray, features: int, least_z: float = 5.0, least_odds: float = 6.0, epochs: int = 150, rate: float = 0.1, l2: float = 5e-4) -> Scorer:
     """Logistic regression on soft targets by full-batch Adam, over columns tied to a class; classes weigh alike, and rows by `use`."""
     n = len(PREFIXES) * features + 9 * BUCKETS + 1
     w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -191,7 +191,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     Posteriors are of the heuristics' votes on the row, scores of the scorer; all are between 0 and 1. kept: quality_score is at least 0.5
     and toxic_score below. Null texts count as empty. Null ids and repeated rows are judged like others; an empty table gives an empty one.
     Of several labels of an id the largest counts; null labels abstain. Votes are counted over all texts; `sample` bounds what the scorer
-    is trained on, and the driver holds those rows' columns. Three passes over the texts; votes alone are joined to the labels.
+    is trained on: texts whose hash is in a range that holds about so many, each once, and of these the first 2 * `sample` in the order of
+    another hash, so a run that is repeated trains on the same. The driver holds those rows' columns. Three passes over the texts; votes alone are joined to the labels.
     """
     own = columns(docs, doc_id=id_col, text=text_col)
     id_type = own.schema["doc_id"].dataType.simpleString()
@@ -228,8 +229,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([" ".join(map(str, g[i])) for g in got], pa.string()) for i in (0, 1)), pa.array(parts, pa.binary())], ["doc_id", "quality", "toxic", "columns"])
 
     drawn = own.mapInArrow(draw, f"doc_id {id_type}, quality string, toxic string, columns binary")
-    rows = with_labels(drawn).select("columns", "votes").dropDuplicates().limit(2 * sample).collect()
-    rows.sort(key=lambda r: (bytes(r["columns"]), r["votes"]))
+    rows = with_labels(drawn).select("columns", "votes").dropDuplicates().orderBy(F.xxhash64("columns", "votes"), "columns", "votes").limit(2 * sample).collect()
     parts = [np.frombuffer(r["columns"], "<i4") for r in rows]
     column, sizes = (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array([len(x) for x in parts], np.int64)
     drawn_votes = np.array([[int(x) for x in r["votes"].split()] for r in rows], np.int64).reshape(len(rows), votes.shape[1])

@@ -1,7 +1,10 @@
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from spindrift.llm.decontaminate import word_features
 from spindrift.llm.line_chunks import BASE, Chunker, op8_line_chunks, remove_repeats
 from spindrift.llm.quality_rules import OP2_SQL, keep_good, op2_host_quality, quality_rules, text_counts
 from spindrift.llm.weak_labels import BUCKETS, classify, expectation_maximisation, measure, op3_weak_label_quality
@@ -199,13 +202,98 @@ def test_capitals_are_counted_over_whole_texts():
             assert buckets[4] == min(BUCKETS - 1, int(share * (BUCKETS - 1) + 0.999)) and (quality[4] == 0) == (share > 0.3)
 
 
+def brute_posteriors(votes, given, one, rare):
+    """Expectation-maximisation over single rows, by its formulas."""
+
+    def held(p, g):
+        return p if g < 0 else 0.98 if g == 1 else 0.02
+
+    p = []
+    for v, g in zip(votes, given, strict=True):
+        start = rare if rare in v else 1 - rare if 1 - rare in v else one
+        p.append(held(min(0.95, max(0.05, start)), g))
+    for _ in range(200):
+        rates = []
+        for j in range(len(votes[0])):
+            count = {(c, x): 1.0 for c in (0, 1) for x in (-1, 0, 1)}
+            for v, q in zip(votes, p, strict=True):
+                count[1, v[j]] += q
+                count[0, v[j]] += 1 - q
+            rates.append({(c, x): n / sum(count[c, y] for y in (-1, 0, 1)) for (c, x), n in count.items()})
+        prior, before, free = (sum(p) + 1) / (len(p) + 2), p, []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for j, x in enumerate(v):
+                a, b = a * rates[j][1, x], b * rates[j][0, x]
+            free.append(a / (a + b))
+        p = [held(x, g) for x, g in zip(free, given, strict=True)]
+        if max(abs(x - y) for x, y in zip(p, before, strict=True)) < 1e-9:
+            break
+    return free, p
+
+
+def brute_scorer(columns, targets, use, features, size):
+    """Logistic regression by Adam, one row and one column at a time."""
+    n_one = sum(u * t for u, t in zip(use, targets, strict=True))
+    n_zero = sum(u * (1 - t) for u, t in zip(use, targets, strict=True))
+    one, zero = {}, {}
+    for own, t, u in zip(columns, targets, use, strict=True):
+        for c in own:
+            one[c], zero[c] = one.get(c, 0) + u * t, zero.get(c, 0) + u * (1 - t)
+    tied = set()
+    for c in one:
+        share = min(1 - 1e-9, max(1e-9, (one[c] + zero[c]) / (n_one + n_zero)))
+        error = (share * (1 - share) * (1 / n_one + 1 / n_zero)) ** 0.5
+        odds = math.log((one[c] + 0.5) / n_one) - math.log((zero[c] + 0.5) / n_zero)
+        if abs(one[c] / n_one - zero[c] / n_zero) >= 5 * error and abs(odds) >= math.log(6):
+            tied.add(c)
+    keys = [*sorted(tied), size - 1]
+    w, m, v = ({c: 0.0 for c in keys} for _ in range(3))
+    for step in range(1, 151):
+        g = {c: 5e-4 * w[c] for c in keys}
+        for own, t, u in zip(columns, targets, use, strict=True):
+            some = [c for c in own if c in tied]
+            e = u * (t / n_one + (1 - t) / n_zero) * (1 / (1 + math.exp(-sum(w[c] for c in some) - w[size - 1])) - t)
+            for c in [*some, size - 1]:
+                g[c] += e
+        for c in keys:
+            m[c], v[c] = 0.9 * m[c] + 0.1 * g[c], 0.999 * v[c] + 0.001 * g[c] ** 2
+            w[c] -= 0.1 * (m[c] / (1 - 0.9**step)) / ((v[c] / (1 - 0.999**step)) ** 0.5 + 1e-6)
+    return w
+
+
+def test_op3_equals_plain_loops(spark, sf, texts):
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    ids = sorted(texts)
+    got = [measure(texts[d] or "") for d in ids]
+    out = rows_of(op3_weak_label_quality(spark, sf), "doc_id")
+    features = 1 << 17
+    size = 3 * features + 9 * BUCKETS + 1
+    columns = []
+    for d, (_, _, buckets) in zip(ids, got, strict=True):
+        own = {kind * features + int(c) for kind, prefix in enumerate((None, 5, 7)) for c in word_features([texts[d] or ""], features, prefix)[0]}
+        columns.append(sorted(own | {3 * features + i * BUCKETS + b for i, b in enumerate(buckets)}))
+    drawn = sorted({(tuple(c), tuple(q), labels.get(d, (-1, -1))[0], tuple(t), labels.get(d, (-1, -1))[1]): i for i, (d, c, (q, t, _)) in enumerate(zip(ids, columns, got, strict=True))}.values())
+    for i, (name, one, rare) in enumerate((("quality", 0.8, 0), ("toxic", 0.05, 1))):
+        given = [labels.get(d, (-1, -1))[i] for d in ids]
+        free, p = brute_posteriors([g[i] for g in got], given, one, rare)
+        use = [float(given[r] >= 0 or max(got[r][i]) >= 0) for r in drawn]
+        w = brute_scorer([columns[r] for r in drawn], [p[r] for r in drawn], use, features, size)
+        for r, d in enumerate(ids):
+            assert abs(out[d][f"{name}_posterior"] - free[r]) < 1e-6
+            z = w[size - 1] + sum(w.get(c, 0.0) for c in columns[r])
+            assert abs(out[d][f"{name}_score"] - 1 / (1 + math.exp(-z))) < 1e-4
+            if name == "toxic":
+                assert out[d]["kept"] == (out[d]["quality_score"] >= 0.5 and out[d]["toxic_score"] < 0.5)
+
+
 def test_op3_on_labels_kept_back(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     assert ((got.quality_score >= 0.5) == (got.quality == 1)).mean() >= 0.97
     toxic = got.toxic == 1
-    assert (got.toxic_score[~toxic] < 0.5).mean() >= 0.97 and (got.toxic_score[toxic] >= 0.5).mean() >= 0.5
+    assert (got.toxic_score[~toxic] < 0.5).mean() >= 0.97 and (got.toxic_score[toxic] >= 0.5).mean() >= 0.6
 
 
 def test_op3_catches_what_is_labelled(spark, sf):
