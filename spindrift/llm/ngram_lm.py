@@ -230,7 +230,8 @@ def by_shard(bounds: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.nda
 def count_level(train: DataFrame, keys_of, bounds: np.ndarray, write) -> list:
     """Rows (shard, n, total) of a level: `keys_of(texts)` gives keys, and `write(shard, keys, counts)` writes a shard of them.
 
-    Each task adds up its own keys, in runs of a few million, and sends each shard the sorted rest. A shard is written once, by one task.
+    Each task adds up its own keys, in runs of a few million, and sends each shard the sorted rest. A shard is written once, by one task;
+    there are as many tasks as shards.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +260,7 @@ def count_level(train: DataFrame, keys_of, bounds: np.ndarray, write) -> list:
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     sent = train.mapInArrow(gather, "shard int, keys binary, counts binary")
-    return sorted(sent.groupBy("shard").applyInArrow(reduce, "shard int, n long, total long").collect())
+    return sorted(sent.repartition(len(bounds), "shard").groupBy("shard").applyInArrow(reduce, "shard int, n long, total long").collect())
 
 
 def build(docs: DataFrame, order: int = 3, prior: float = 200.0, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, shards: int | None = None) -> Trie:
