@@ -33,6 +33,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: list[str], parts: int = 16) -> DataFrame:
+    """`rows` joined with their row of `table` (one for each `key`), where a key may be that of a large share of the rows.
+
+    Rows of a key are dealt to `parts` tasks by a hash of the columns `by`, and the table's rows are repeated for each.
+    """
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    return dealt.join(table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [key, "__part"]).drop("__part")
+
+
 def cells(rows: DataFrame, key: str, spread: str, limit: int) -> DataFrame:
     """`rows` with cell_lo and cell_hi, so that (key, cell_lo, cell_hi) has about 2 * `limit` rows at most and any two rows of a key meet in a cell.
 

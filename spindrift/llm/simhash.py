@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.components import cells, components
+from spindrift.llm.components import cells, components, spread_join
 from spindrift.llm.shared import columns, documents, frames, settle, strings
 
 LANES = np.uint64(0x0101010101010101)
@@ -195,9 +195,10 @@ def simhash_components(docs: DataFrame, shingle: int = 3, threshold: int = 3, id
     each = settle(fingerprints(docs, shingle, id_col, text_col))
     classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(classes, threshold))
-    root = F.coalesce("root", "fp").alias("root")
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", root)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    linked = rooted.where("root IS NOT NULL")
+    named = spread_join(linked, linked.groupBy("root").agg(F.min("least").alias("component_id")), "root", ["fp"]).select("fp", "component_id")
+    named = named.unionByName(rooted.where("root IS NULL").select("fp", F.col("least").alias("component_id")))
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
