@@ -1,10 +1,10 @@
 """WARC archives as a PySpark data source: `spark.read.format("warc")` and `df.write.format("warc")`.
 
 Writing: a task writes one archive, a gzip member for each record, and beside it an index of the members' offsets. Files appear under
-their final names only when the job commits, so a lost or repeated task leaves nothing.
+their final names only when the job commits; what lost or repeated tasks of the job have left is deleted then.
 
-Reading: a file is cut at member offsets into partitions of about `split` bytes (a file without an index is one partition). Predicates on
-record_type, record_id, target_uri, payload_digest and refers_to are pushed down to the reader (`read_archives`). A record's headers are
+Reading: the driver plans ranges of about `split` bytes from the files' sizes alone. A task reads the members that begin in its range; it
+finds the first in the index, or in a file without one by looking for a gzip header behind which a record begins. Predicates on record_type, record_id, target_uri, payload_digest and refers_to are pushed down to the reader (`read_archives`). A record's headers are
 inflated and parsed first; if a predicate rejects them, the reader goes to the next member without inflating the rest. Payloads are
 decoded only if the schema has the payload column.
 
@@ -18,6 +18,7 @@ The path must be a folder that all nodes mount.
 from __future__ import annotations
 
 import base64
+import contextlib
 import glob
 import json
 import os
@@ -26,8 +27,10 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 from urllib.parse import quote, unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 INDEX = ".offsets"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD_END = b"\r\n\r\n"
+GZIP = b"\x1f\x8b\x08"
 
 
 def folder_of(path: str) -> str:
@@ -113,18 +117,49 @@ def field_of(headers: dict[str, str], name: str) -> str | None:
 
 @dataclass
 class Stretch(InputPartition):
-    """Members from `start` on, before `end`; offsets are of the members if they are known."""
+    """The members of a file that begin at `start` or later, before `end`."""
 
     path: str
     start: int
     end: int
-    offsets: tuple[int, ...] | None
+
+
+def indexed(part: Stretch) -> list[int] | None:
+    """Offsets of the members of a stretch by the file's index; None without one. Reads only the stretch's part of the index."""
+    if not os.path.exists(part.path + INDEX):
+        return None
+    size = os.path.getsize(part.path + INDEX) // 8
+    if not size:
+        return []
+    every = np.memmap(part.path + INDEX, "<i8", "r", shape=(size,))
+    first, after = np.searchsorted(every, [part.start, part.end])
+    return every[first:after].tolist()
+
+
+def first_member(f: BinaryIO, start: int, end: int) -> int:
+    """Offset of the first member of a file that begins in the range and holds a record; `end` without one."""
+    at = start
+    while at < end:
+        f.seek(at)
+        data = f.read(1 << 16)
+        if not data:
+            return end
+        found = data.find(GZIP)
+        while found >= 0:
+            f.seek(at + found)
+            with contextlib.suppress(zlib.error):
+                if at + found < end and zlib.decompressobj(31).decompress(f.read(4096), 5) == b"WARC/":
+                    return at + found
+            found = data.find(GZIP, found + 1)
+        at += max(1, len(data) - len(GZIP) + 1)
+    return end
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
         self.path, self.split, self.names = folder_of(options["path"]), int(options.get("split", 16 << 20)), names
         self.filters = [tuple(x) for x in json.loads(options.get("predicates", "[]"))]
+        self.n_own = len(self.filters)
 
     def accepts(self, headers: dict[str, str]) -> bool:
         for kind, name, want in self.filters:
@@ -138,19 +173,7 @@ class Reader(DataSourceReader):
         out = []
         for path in sorted(glob.glob(os.path.join(glob.escape(self.path), "*.warc.gz"))):
             size = os.path.getsize(path)
-            if not os.path.exists(path + INDEX):
-                out.append(Stretch(path, 0, size, None))
-                continue
-            with open(path + INDEX, "rb") as f:
-                data = f.read()
-            offsets = struct.unpack(f"<{len(data) // 8}q", data)
-            first = 0
-            for i, at in enumerate(offsets):
-                if i > first and at - offsets[first] >= self.split:
-                    out.append(Stretch(path, offsets[first], at, offsets[first:i]))
-                    first = i
-            if offsets:
-                out.append(Stretch(path, offsets[first], size, offsets[first:]))
+            out += [Stretch(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
         return out
 
     def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
@@ -170,14 +193,17 @@ class Reader(DataSourceReader):
     def rows(self, part: Stretch) -> Iterator[tuple[tuple, int]]:
         wants_payload = "payload" in self.names
         wants_http = wants_payload or "payload_length" in self.names
+        offsets = indexed(part)
         with open(part.path, "rb") as f:
-            at, nth, buffered = part.start, 0, b""
-            f.seek(at)
-            while part.offsets is not None and nth < len(part.offsets) or part.offsets is None and (buffered or at < part.end):
-                if part.offsets is not None:
-                    f.seek(part.offsets[nth])
-                    buffered = b""
-                nth += 1
+            at = first_member(f, part.start, part.end) if offsets is None else part.start
+            waiting = iter(offsets or ())
+            while True:
+                if offsets is not None:
+                    at = next(waiting, part.end)
+                if at >= part.end:
+                    break
+                f.seek(at)
+                buffered = b""
                 member, data = zlib.decompressobj(31), b""
 
                 def more(limit: int, member=member) -> bytes:
@@ -219,18 +245,18 @@ class Reader(DataSourceReader):
                         payload = body[end + 4 :]
                     special = {"payload_length": payload_length, "payload": payload}
                     yield tuple(special[n] if n in special else field_of(headers, n) for n in self.names), 200 + len(payload) * wants_payload
-                if part.offsets is None:  # the next member starts where this one ends
+                if offsets is None:  # the next member starts where this one ends
                     while not member.eof and more(1 << 20):
                         pass
-                    buffered = member.unused_data or buffered
-                    at = f.tell() - len(buffered)
+                    at = f.tell() - len(member.unused_data)
 
 
 class FilteringReader(Reader):
-    """Takes filters from Spark's optimizer as well; for a frame that one query uses."""
+    """Takes filters from Spark's optimizer as well, in place of those that it took before; for a frame that one query uses."""
 
     def pushFilters(self, filters: list) -> Iterable:
         known = {"record_id", "record_type", "target_uri", "payload_digest", "refers_to"}
+        self.filters = self.filters[: self.n_own]
         for f in filters:
             if isinstance(f, EqualTo | In | IsNull | IsNotNull | StringStartsWith) and len(f.attribute) == 1 and f.attribute[0] in known:
                 self.filters.append((type(f).__name__, f.attribute[0], getattr(f, "value", None)))
@@ -246,11 +272,11 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path, self.level = folder_of(options["path"]), int(options.get("level", 6))
+        self.path, self.level, self.job = folder_of(options["path"]), int(options.get("level", 6)), uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         os.makedirs(self.path, exist_ok=True)
-        name = uuid.uuid4().hex
+        name = f"{self.job}-{uuid.uuid4().hex}"
         part, offsets, at = os.path.join(self.path, f".{name}.part"), [], 0
         with open(part, "wb") as out:
             for batch in iterator:
@@ -269,13 +295,13 @@ class Writer(DataSourceArrowWriter):
             if m is not None:
                 os.replace(m.part + INDEX, os.path.join(self.path, m.name + INDEX))
                 os.replace(m.part, os.path.join(self.path, m.name))
+        self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m is not None:
-                for p in (m.part, m.part + INDEX):
-                    if os.path.exists(p):
-                        os.remove(p)
+        """Delete the job's parts, those of tasks whose messages never came included."""
+        for path in glob.glob(os.path.join(glob.escape(self.path), f".{self.job}-*")):
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(path)
 
 
 class Warc(DataSource):
@@ -343,18 +369,15 @@ def page_records(pages: DataFrame, least: int = 1000, id_col: str = "page_id", u
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, whose lengths and digests are taken anew; revisits by a scan of its own that decodes none."""
     register(spark)
     folder = shared_folder(spark, "warc")
     page_records(documents(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    read = read_archives(spark, folder)
-    full = F.col("record_type") == "response"
-    return read.select(
-        page_id_of(F.col("record_id")).alias("page_id"),
-        F.when(full, F.length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        page_id_of(F.col("refers_to")).alias("refers_to"),
-    )
+    page = page_id_of(F.col("record_id")).alias("page_id")
+    full = read_archives(spark, folder, ("EqualTo", "record_type", "response"), columns=["record_id", "payload"])
+    again = read_archives(spark, folder, ("EqualTo", "record_type", "revisit"), columns=["record_id", "payload_digest", "refers_to", "payload_length"])
+    responses = full.select(page, F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionByName(again.select(page, F.col("payload_length").alias("payload_bytes"), "payload_digest", F.lit("revisit").alias("record_type"), page_id_of(F.col("refers_to")).alias("refers_to")))
 
 
 #: The same in DuckDB SQL.

@@ -1,6 +1,8 @@
 import glob
 import hashlib
 import os
+import types
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +78,58 @@ def test_archives_without_an_index(spark, archive, tmp_path):
     assert rows.count() == len(PAGES) and rows.where("record_type = 'revisit'").count() == 2 and rows.agg(F.sum(F.length("payload"))).first()[0] == 4000 + 1200 + 10 + 3_000_000
 
 
+def test_ranges_without_an_index(spark, archive, tmp_path):
+    """Members are found by the task, in the index or by their headers; each is read once, whatever the ranges."""
+    want = sorted((r["record_id"], r["record_type"], bytes(r["payload"])) for r in read_archives(spark, archive).collect())
+    for path in glob.glob(f"{archive}/*.warc.gz"):
+        os.link(path, tmp_path / os.path.basename(path))
+    for folder in (archive, str(tmp_path)):
+        for split in (50, 333, 4000):
+            got = read_archives(spark, folder, split=split)
+            assert got.rdd.getNumPartitions() >= (3 if split < 1000 else 1)
+            assert sorted((r["record_id"], r["record_type"], bytes(r["payload"])) for r in got.collect()) == want
+
+
+def test_rejected_records_are_not_inflated(archive, monkeypatch):
+    import json
+
+    from spindrift.llm import warc
+
+    inflated = 0
+
+    class Counting:
+        def __init__(self, bits):
+            self.real = zlib.decompressobj(bits)
+
+        def decompress(self, *args):
+            nonlocal inflated
+            out = self.real.decompress(*args)
+            inflated += len(out)
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    monkeypatch.setattr(warc, "zlib", types.SimpleNamespace(decompressobj=Counting, error=zlib.error))
+    sizes = {}
+    for kind, columns in (("response", "record_id string, payload binary"), ("revisit", "record_id string, payload_length long"), ("none", "record_id string")):
+        reader = Warc({"path": archive, "predicates": json.dumps([["EqualTo", "record_type", kind]])}).reader(StructType.fromDDL(columns))
+        inflated = 0
+        n = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+        sizes[kind] = inflated
+        assert n == {"response": len(PAGES) - 2, "revisit": 2, "none": 0}[kind]
+    assert sizes["response"] > 3_000_000 and sizes["revisit"] <= 4096 * len(PAGES) and sizes["none"] <= 4096 * len(PAGES)
+
+
+def test_parts_of_lost_tasks_go(archive, tmp_path):
+    writer = Warc({"path": str(tmp_path)}).writer(StructType.fromDDL("record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary"), False)
+    lost, kept = writer.write(iter([])), writer.write(iter([]))
+    other = tmp_path / ".of-another-job.part"
+    other.touch()
+    writer.commit([kept, None])
+    assert not os.path.exists(lost.part) and sorted(os.listdir(tmp_path)) == sorted([other.name, kept.name, kept.name + INDEX])
+
+
 def test_empty_table_and_bad_use(spark, tmp_path):
     register(spark)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
