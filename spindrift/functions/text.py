@@ -36,8 +36,8 @@ def normalize(column: Column) -> Column:
     x = F.regexp_replace(x, r"(?U)(?<=\d)\s*[xх]\s*(?=\d)", "х")
     x = F.regexp_replace(x, r"(?<=[a-zа-яё])[-/](?=[a-zа-яё])", " ")
     x = F.regexp_replace(x, r"(?U)[^0-9a-zа-яё./\s-]+", " ")
-    for first, second, phrase in V.PHRASES:
-        x = F.regexp_replace(x, rf"(?U)\b{first}[\w-]*\s+{second}[\w-]*\b", phrase)
+    for pattern, phrase in V.PHRASES:
+        x = F.regexp_replace(x, "(?U)" + pattern, phrase)
     return squash(x)
 
 
@@ -108,10 +108,13 @@ def lemmas(terms_: Column) -> Column:
 
 
 def expand(term: Column) -> Column:
-    """A term, what it abbreviates, and its lemma's."""
+    """A term, what it abbreviates and its base forms, each variant of several words followed by its words and theirs, in order of first sight."""
     table = F.create_map(*[x for k, v in V.EXPANSIONS.items() for x in (F.lit(k), literal_array(v))])
     of = lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast(EMPTY))
-    return F.array_distinct(F.concat(F.array(term), of(term), fallback_variants(term)))
+    single = lambda t: F.concat(F.array(t), of(t), fallback_variants(t))
+    parts = lambda v: F.flatten(F.transform(terms(v), single))
+    every = F.flatten(F.transform(single(term), lambda v: F.when(v.contains(" "), F.concat(F.array(v), parts(v))).otherwise(F.array(v))))
+    return F.array_distinct(F.filter(every, lambda v: (F.length(v) >= 2) | is_digits(v)))
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -124,14 +127,9 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(0.0)
 
 
-def word_grams(normalized: Column) -> Column:
-    """Distinct trigrams of each word, padded by itself."""
-    return F.array_distinct(F.flatten(F.transform(split_words(normalized), lambda w: grams(w))))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+def word_grams(text: Column) -> Column:
+    """Distinct trigrams of each run of letters and digits, in lower case, padded by itself."""
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-zа-яё]+"), 0), lambda w: grams(w))))
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
@@ -217,18 +215,64 @@ def analysis(n: Column, token: Column, term: Column, lemma_: Column, quantity: C
     return F.struct(*[v.alias(k) for k, v in named.items()], hard.alias("is_hard"))
 
 
+def clean(column: Column) -> Column:
+    """Without NULs, no-break spaces as blanks, blanks squashed. Null is empty."""
+    plain = F.translate(F.coalesce(column, F.lit("")), "\u00a0\u0000", " ")
+    return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))
+
+
 def attribute_entries(raw: Column) -> Column:
-    """Ordered (key, value) of a `key:value;key:value` string; a part without a key is named by its place, a repeated equal pair is dropped, another value of a key gets a number."""
-    clean = squash(F.translate(F.coalesce(raw, F.lit("")), "\u0000 ", " "))
-    parts = F.filter(F.transform(F.split(clean, ";"), F.trim), lambda x: x != "")
-    keyed = F.transform(parts, lambda x, i: F.when(x.contains(":"), F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))).otherwise(F.struct(F.concat(F.lit("Атрибут "), (i + 1).cast("string")).alias("key"), x.alias("value"))))
-    keyed = F.filter(keyed, lambda x: (x["key"] != "") & (x["value"] != ""))
-    empty = F.array().cast("array<struct<key:string,value:string>>")
+    """Ordered (key, value) of a `key:value;key:value` string.
+
+    A part without a colon is named by the number of entries before it, plus one; parts without a key or a value are left out. Of a key that
+    is there already, an equal value is left out, another gets the key with a number, which counts the key's other values.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ";"), clean), lambda x: x != "")
+    empty = F.struct(F.array().cast("array<struct<key:string,value:string>>").alias("entries"), F.array().cast("array<string>").alias("again"))
 
     def add(acc: Column, x: Column) -> Column:
-        same = F.filter(acc, lambda y: (y["key"] == x["key"]) | y["key"].startswith(F.concat(x["key"], F.lit(" ("))))
-        repeated = F.exists(acc, lambda y: (y["key"] == x["key"]) & (y["value"] == x["value"]))
-        named = F.when(F.size(same) > 0, F.concat(x["key"], F.lit(" ("), (F.size(same) + 1).cast("string"), F.lit(")"))).otherwise(x["key"])
-        return F.when(repeated, acc).otherwise(F.concat(acc, F.array(F.struct(named.alias("key"), x["value"].alias("value")))))
+        entries, again = acc["entries"], acc["again"]
+        colon = F.instr(x, ":")
+        number = F.concat(F.lit("Атрибут "), (F.size(entries) + 1).cast("string"))
+        key = F.when(colon > 0, F.trim(F.substring_index(x, ":", 1))).otherwise(number)
+        value = F.when(colon > 0, F.trim(x.substr(colon + 1, F.length(x)))).otherwise(x)
+        held = F.exists(entries, lambda y: y["key"] == key)
+        equal = F.exists(entries, lambda y: (y["key"] == key) & (y["value"] == value))
+        named = F.concat(key, F.lit(" ("), (F.size(F.filter(again, lambda k: k == key)) + 2).cast("string"), F.lit(")"))
+        name = F.when(held, named).otherwise(key)
+        put = lambda: F.when(  # noqa: E731  a name that is taken gets the new value in its old place
+            F.exists(entries, lambda y: y["key"] == name), F.transform(entries, lambda y: F.struct(y["key"].alias("key"), F.when(y["key"] == name, value).otherwise(y["value"]).alias("value")))
+        ).otherwise(F.concat(entries, F.array(F.struct(name.alias("key"), value.alias("value")))))
+        changed = F.struct(put().alias("entries"), F.when(held, F.concat(again, F.array(key))).otherwise(again).alias("again"))
+        return F.when((key == "") | (value == "") | equal, acc).otherwise(changed)
+
+    return F.aggregate(parts, empty, add, lambda acc: acc["entries"])
+
+
+# Plain tokenizers of the catalogue, and of the ranker's features.
+
+
+def catalog_tokens(column: Column) -> Column:
+    """Distinct runs of Latin and Cyrillic letters without ё, and digits, of two characters or more, in lower case."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("[a-zа-я0-9]+"), 0)
+    return F.array_distinct(F.filter(found, lambda t: F.length(t) > 1))
+
+
+def name_tokens(column: Column) -> Column:
+    """Distinct catalogue tokens of three characters or more that aren't legal forms or other empty words of names."""
+    return F.filter(catalog_tokens(column), lambda t: (F.length(t) > 2) & ~t.isin(V.NAME_STOP_WORDS))
+
+
+def spelling_tokens(column: Column) -> Column:
+    """Runs of letters, ё included, and digits, of three characters or more, that aren't numbers, in lower case."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("[0-9a-zа-яё]+"), 0)
+    return F.filter(found, lambda t: (F.length(t) >= 3) & ~is_digits(t))
+
+
+def plain(column: Column) -> Column:
+    """Lower case without ё, blanks squashed. Null is empty."""
+    return squash(F.translate(F.lower(F.coalesce(column.cast("string"), F.lit(""))), "ё", "е"))
+
 
-    return F.aggregate(keyed, empty, add)
+def plain_terms(plain_text: Column) -> Column:
+    return F.regexp_extract_all(plain_text, F.lit("[0-9a-zа-яё]+"), 0)

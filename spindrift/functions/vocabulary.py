@@ -37,8 +37,15 @@ EXPANSIONS = {
 }
 LONGEST_TOKEN = 64
 
-# Beginnings of two words, and the phrase that replaces them.
-PHRASES = [("канц", "товар", "канцтовары"), ("канцелярск", "товар", "канцтовары"), ("орг", "техник", "оргтехника"), ("хоз", "товар", "хозтовары"), ("рабоч", "станц", "рабочая станция"), ("персональн", "компьютер", "персональный компьютер")]
+# Patterns of two words, and the phrase that replaces them.
+PHRASES = [
+    (r"\bканц[\w-]*\s+товар[\w-]*\b", "канцтовары"),
+    (r"\bканцелярск[\w-]*\s+товар[\w-]*\b", "канцтовары"),
+    (r"\bорг[\w-]*\s+техник[\w-]*\b", "оргтехника"),
+    (r"\bхоз[\w-]*\s+товар[\w-]*\b", "хозтовары"),
+    (r"\bрабоч[\w-]*\s+станц[\w-]*\b", "рабочая станция"),
+    (r"\bперсональн[\w-]*\s+компьютер[\w-]*\b", "персональный компьютер"),
+]
 
 # Word endings and their replacements, first match counts.
 SUFFIXES = [
@@ -73,3 +80,92 @@ LEMMA_WEIGHTS = {"title": 2.15, "attributes": 1.45, "category": 1.25, "descripti
 CHANNEL_WEIGHTS = {"exact_structured": 1.45, "attribute": 1.2, "bm25": 1.2, "morphology": 1.0, "fuzzy": 0.9, "synonym_bm25": 0.8, "semantic": 0.8}
 CHANNEL_REASONS = {"exact_structured": "retrieval_exact", "attribute": "retrieval_attribute", "bm25": "retrieval_bm25", "morphology": "retrieval_morphology", "fuzzy": "retrieval_fuzzy", "synonym_bm25": "retrieval_synonym", "semantic": "retrieval_semantic"}
 BM25_K1, BM25_B, RRF_K = 1.45, 0.72, 60
+
+# Legal forms and empty words of suppliers' names.
+NAME_STOP_WORDS = ["ооо", "ао", "оао", "зао", "ип", "fgup", "фгуп", "group", "trade"]
+
+# Attributes that name the supplier, best first, and the name of a supplier that isn't known.
+SUPPLIER_KEYS = ["Производитель", "Производитель медицинского изделия", "Производитель товара", "Изготовитель", "Торговая марка", "Бренд", "Марка"]
+NO_SUPPLIER = "Поставщик не указан"
+
+# Event types that are recorded.
+EVENT_TYPES = [
+    "search_submitted", "search_results_rendered", "search_impression", "suggestion_clicked", "result_clicked", "result_opened", "result_opened_new_tab",
+    "product_view_started", "product_view_ended", "item_copy", "favorite_added", "favorite_removed", "comparison_added", "comparison_removed",
+    "cart_added", "cart_removed", "cart_quantity_changed", "filter_applied", "filter_removed", "filters_cleared", "sort_changed",
+    "purchase_completed", "quick_back", "scroll_depth_changed", "search_refined", "search_abandoned", "purchase_intent", "irrelevant_marked",
+]
+
+# Event types shown as activity, by the filter they belong to.
+ACTIVITY_FILTERS = {
+    "search": ["search_submitted", "search_results_rendered", "search_refined", "suggestion_clicked", "result_clicked", "result_opened", "result_opened_new_tab", "filter_applied", "filter_removed", "filters_cleared", "sort_changed"],
+    "shortlist": ["favorite_added", "favorite_removed", "comparison_added", "comparison_removed"],
+    "cart": ["cart_added", "cart_removed", "cart_quantity_changed", "purchase_intent"],
+    "purchase": ["purchase_completed"],
+    "feedback": ["item_copy", "irrelevant_marked"],
+}
+
+# Activity types whose title is made of words alone, of words and the item, or of words and the quoted query.
+PLAIN_TITLES = {
+    "search_refined": "Запрос уточнен",
+    "filter_applied": "Применен фильтр",
+    "filter_removed": "Фильтр снят",
+    "filters_cleared": "Фильтры очищены",
+    "sort_changed": "Изменен режим сортировки",
+    "purchase_intent": "Подготовлен закупочный черновик",
+}
+ITEM_TITLES = {
+    "result_clicked": "Открыт результат",
+    "result_opened": "Карточка просмотрена",
+    "result_opened_new_tab": "Карточка открыта в новой вкладке",
+    "item_copy": "Скопирован фрагмент карточки",
+    "favorite_added": "Добавлено в избранное",
+    "favorite_removed": "Убрано из избранного",
+    "comparison_added": "Добавлено в сравнение",
+    "comparison_removed": "Убрано из сравнения",
+    "cart_added": "Добавлено в корзину",
+    "cart_removed": "Удалено из корзины",
+    "cart_quantity_changed": "Изменено количество в корзине",
+    "purchase_completed": "Оформлена закупка",
+    "irrelevant_marked": "Позиция отмечена как нерелевантная",
+}
+QUERY_TITLES = {
+    "search_submitted": "Новый запрос",
+    "search_results_rendered": "Получена выдача по запросу",
+    "suggestion_clicked": "Выбрана подсказка",
+}
+NO_QUERY, NO_ITEM = "без запроса", "позиция"
+
+# Event types that make an item viewed, and shortlisted.
+VIEWED_TYPES = ["result_opened", "product_view_started", "product_view_ended", "item_copy", "favorite_added", "comparison_added", "cart_added", "quick_back"]
+SHORTLIST_TYPES = ["favorite_added", "comparison_added", "cart_added", "purchase_intent"]
+
+# How reasons are shown.
+REASON_LABELS = {
+    "exact_title_match": "Точное совпадение",
+    "prefix_title_match": "Совпадение по началу названия",
+    "partial_title_match": "Совпадение по названию",
+    "fuzzy_title_match": "Учтена опечатка или близкая формулировка",
+    "description_match": "Совпадение по описанию",
+    "token_match": "Совпадение по ключевым словам",
+    "matches_purchase_history": "Похоже на историю закупок",
+    "recent_interaction": "Недавний интерес",
+    "popular_supplier": "Часто выбираемый поставщик",
+    "popular_in_organization": "Популярно в организации",
+}
+RELATED_LABELS = {"same_category": "Та же категория", "same_supplier": "Тот же поставщик", "title_overlap": "Похожие формулировки", "attribute_overlap": "Совпадают атрибуты"}
+GROUP_LABELS = {"history": "История", "categories": "Категории", "products": "Товары"}
+
+# Thresholds and sizes of searches.
+FULL_TEXT_LEAST, TRIGRAM_LEAST, TRIGRAM_MATCH, TRIGRAM_WEIGHT = 0.01, 0.08, 0.3, 1.2
+POOL_FACTOR, POOL_LEAST, POOL_MOST, EXPANDED_FACTOR, EXPANDED_LEAST = 8, 300, 1200, 2, 60
+
+
+def pool_size(limit: int) -> int:
+    """Documents of a shortlist."""
+    return min(POOL_MOST, max(POOL_FACTOR * limit, POOL_LEAST))
+
+
+def expanded_limit(limit: int) -> int:
+    """Hits of a channel."""
+    return max(EXPANDED_FACTOR * limit, EXPANDED_LEAST)

@@ -31,18 +31,26 @@ def page(rows: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))
 
 
-def related(items: DataFrame, probes: DataFrame, n: int) -> DataFrame:
+def related(items: DataFrame, probes: DataFrame, n: int, most_broadcast: int = 1000) -> DataFrame:
     """For each probe (item_id) the n best items of its category or supplier: .4 category, .2 supplier, title words (.12, at most .24), attributes (.1, at most .2).
 
-    The two ways to be related are two equi-joins, put together and made distinct, not a join on a disjunction.
+    Up to `most_broadcast` probes are counted and sent to the items, which are read once; more are joined by two equi-joins, put together and
+    made distinct.
     """
     own = items.select("item_id", "category", "supplier_id", "words", "attributes")
     probe = own.join(probes.select("item_id"), "item_id", "left_semi").select(*[F.col(c).alias(f"p_{c}") for c in own.columns])
-    pairs = probe.join(own, F.col("p_category") == F.col("category")).unionByName(probe.join(own, F.col("p_supplier_id") == F.col("supplier_id"))).where("p_item_id <> item_id").dropDuplicates(["p_item_id", "item_id"])
+    same = [F.col("p_category") == F.col("category"), F.col("p_supplier_id") == F.col("supplier_id")]
+    if probes.count() <= most_broadcast:
+        pairs = own.join(F.broadcast(probe), same[0] | same[1])
+    else:
+        pairs = probe.join(own, same[0]).unionByName(probe.join(own, same[1])).dropDuplicates(["p_item_id", "item_id"])
+    pairs = pairs.where("p_item_id <> item_id")
     shared = F.size(F.array_intersect("p_words", "words"))
     alike = F.size(F.array_intersect("p_attributes", "attributes"))
     score = F.when(F.col("p_category") == F.col("category"), 0.4).otherwise(0.0) + F.when(F.col("p_supplier_id") == F.col("supplier_id"), 0.2).otherwise(0.0) + F.least(shared * 0.12, F.lit(0.24)) + F.least(alike * 0.1, F.lit(0.2))
-    scored = pairs.select(F.col("p_item_id").alias("probe_id"), "item_id", F.round(score, 4).alias("score"))
+    known = [F.when(same[0], "same_category"), F.when(same[1], "same_supplier"), F.when(shared > 0, "title_overlap"), F.when(alike > 0, "attribute_overlap")]
+    reasons = F.array_join(F.filter(F.array(*known), lambda r: r.isNotNull()), ",")
+    scored = pairs.select(F.col("p_item_id").alias("probe_id"), "item_id", F.round(score, 4).alias("score"), reasons.alias("reasons"))
     return top_per_group(scored, ["probe_id"], [F.desc("score"), F.col("item_id")], n)
 
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.catalog import top_per_group
+from spindrift.session import settled
 
 
 def slot_sample(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """At most n rows of each group in order of `key`: the first n fill the slots, every later one overwrites slot hash(key) mod n."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    slot = F.when(F.col("place") <= n, F.col("place") - 1).otherwise(F.pmod(F.col(key) * 7919 + 13, F.lit(n)))
-    slotted = rows.withColumn("place", place).withColumn("slot", slot.cast("long"))
-    return slotted.groupBy(group, "slot").agg(F.max_by(key, "place").alias(key))
+    """Rows of the group, slot, key: at most n of each group in order of `key`: the first n fill the slots, every later one overwrites slot hash(key) mod n.
+
+    No group goes through one task: its first n are a top-n, which is cut before the shuffle, and the last of each slot is a maximum, which
+    counts if it comes after the first n.
+    """
+    first = top_per_group(rows.select(group, key), [group], [F.col(key)], n).select(group, (F.col("rank") - 1).cast("long").alias("slot"), F.col(key).alias("__first"))
+    ends = first.groupBy(group).agg(F.max("__first").alias("__end"))
+    slot = F.pmod(F.col(key) * 7919 + 13, F.lit(n)).cast("long")
+    last = rows.groupBy(group, slot.alias("slot")).agg(F.max(key).alias("__last"))
+    both = first.join(last.join(ends, group).where(F.col("__last") > F.col("__end")).drop("__end"), [group, "slot"], "full")
+    return both.select(group, "slot", F.coalesce("__last", "__first").alias(key))
 
 
 def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
@@ -30,17 +36,31 @@ def token_votes(queries: DataFrame, samples: DataFrame, n: int) -> DataFrame:
     return top_per_group(votes, ["query_id"], [F.desc("votes"), F.col("category")], n)
 
 
-def matches(queries: DataFrame, items: DataFrame, n_categories: int) -> DataFrame:
-    """The best item of each query among its voted categories: 3 * title words + 1.4 * category words shared, the least id of equals.
+def sample_scores(queries: DataFrame, items: DataFrame, samples: DataFrame, n_categories: int) -> DataFrame:
+    """Rows query_id, item_id, category, votes, shared, score for the samples (item_id) of each query's voted categories.
 
-    Items with the same words score alike, so only the first of these is paired with queries.
+    queries: query_id, words, supplier_words; items: item_id, category, words, category_words, supplier_words. Each title word shared counts 3,
+    each of the category's 1.4, of the supplier's name 2, and an equal name 4 more. Samples bound the pairs of a query, whatever its
+    categories hold.
     """
-    items = items.groupBy("category", F.array_sort("words").alias("words"), F.array_sort("category_words").alias("category_words")).agg(F.min("item_id").alias("item_id"))
-    voted = token_votes(queries, items.select("category", "words"), n_categories).select("query_id", "category")
-    pairs = voted.join(items, "category").join(queries.withColumnRenamed("words", "asked"), "query_id")
-    score = F.round(3.0 * F.size(F.array_intersect("asked", "words")) + 1.4 * F.size(F.array_intersect("asked", "category_words")), 4)
-    scored = pairs.withColumn("score", score).where("score > 0")
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("item_id")], 1).select("query_id", "item_id", "score")
+    voted = token_votes(queries, items.select("category", "words"), n_categories).select("query_id", "category", "votes")
+    kept = items.join(samples.select("item_id"), "item_id", "left_semi")
+    pairs = voted.join(kept, "category").join(queries.select("query_id", F.col("words").alias("asked"), F.col("supplier_words").alias("asked_supplier")), "query_id")
+    shared = lambda a, b: F.size(F.array_intersect(a, b))
+    same = (F.size("asked_supplier") > 0) & (F.array_sort("asked_supplier") == F.array_sort("supplier_words"))
+    score = 3.0 * shared("asked", "words") + 1.4 * shared("asked", "category_words") + 2.0 * shared("asked_supplier", "supplier_words") + F.when(same, 4.0).otherwise(0.0)
+    return pairs.select("query_id", "item_id", "category", "votes", shared("asked", "words").alias("shared"), F.round(score, 4).alias("score"))
+
+
+def matches(scored: DataFrame) -> DataFrame:
+    """The best item of each query with a score above 0, the least id of equals."""
+    return top_per_group(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.col("item_id")], 1).drop("rank")
+
+
+def candidate_items(scored: DataFrame, limit: int) -> DataFrame:
+    """The `limit` best items of each query, where each vote for an item's category adds a quarter."""
+    raised = scored.withColumn("score", F.round(F.col("score") + 0.25 * F.col("votes"), 4))
+    return top_per_group(raised, ["query_id"], [F.desc("score"), F.col("item_id")], limit)
 
 
 def soft_label(positive: Column, same_category: Column, overlap: Column) -> Column:
@@ -52,12 +72,12 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     """`rows` with place, their place from 0 in the order of the columns, which must tell rows apart, and n, their number.
 
     Rows are dealt by ranges of the order and ranked within them, and each range is moved up by the sizes of those before it, so no task gets
-    all rows; what one task sorts is a row for each range. The dealt rows are kept (persist): the ranges come from a sample, and dealing
-    the rows twice could cut them at different places.
+    all rows; what one task sorts is a row for each range. The dealt rows are written to the shared folder: the ranges come from a sample, and
+    dealing the rows twice could cut them at different places.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    dealt = dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__part").orderBy(*order))).persist(StorageLevel.DISK_ONLY)
+    dealt = settled(dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__part").orderBy(*order))))
     sizes = dealt.groupBy("__part").agg(F.max("__within").alias("__size"))
     ordered = Window.orderBy("__part")
     before = F.coalesce(F.sum("__size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -24,6 +24,13 @@ def prepend(old: Column, new: Column, most: int) -> Column:
     return F.when(F.size(new) == 0, old).otherwise(F.slice(F.concat(F.reverse(F.array_distinct(F.array_except(new, old))), old), 1, most))
 
 
+def last_values(rows: DataFrame, by: list[str], value: str, place: str, k: int, out: str) -> DataFrame:
+    """For each key the array of its k values of the largest `place`, the largest first. Groups are cut to k before and after the shuffle."""
+    order = Window.partitionBy(*by).orderBy(F.desc(place), value)
+    kept = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return kept.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias(out))
+
+
 def recent_distinct(rows: DataFrame, by: list[str], value: str, place: str, most: int, out: str) -> DataFrame:
     """For each key a first-in first-out list of values in order of `place`: a value in the list is skipped, beyond `most` the oldest leaves, and may come back."""
     ordered = rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, value))), lambda x: x[value]).alias("all"))
@@ -53,7 +60,7 @@ def rule_score(rows: DataFrame, fuzzy: bool) -> DataFrame:
         rows = rows.withColumn("__ratio", sequence_ratio(q, title))
         close = F.col("__ratio") >= 0.45
         tiers, named = F.when(tiers.isNotNull(), tiers).when(close, F.round(F.col("__ratio") * 0.25, 4)), F.when(named.isNotNull(), named).when(close & (q != ""), "fuzzy_title_match")
-    hits = F.size(F.filter("terms", lambda t: title.contains(t) | F.col("description").contains(t) | F.col("attributes").contains(t)))
+    hits = F.size(F.filter("terms", lambda t: title.contains(t) | F.col("description").contains(t) | F.col("attributes").contains(t)))  # a word that begins with the term contains it
     parts = [
         (F.coalesce(tiers, F.lit(0.0)), named),
         (F.least(hits * 0.08, F.lit(0.24)), F.when(hits > 0, "token_match")),
@@ -74,6 +81,11 @@ def rule_score(rows: DataFrame, fuzzy: bool) -> DataFrame:
     return out.drop("__ratio")
 
 
+def position_score(position: Column) -> Column:
+    """The score of a result by its position alone; one without a position comes last, as if at 999."""
+    return -F.coalesce(position.try_cast("double"), F.lit(999.0))
+
+
 def scaled(column: Column, window) -> Column:
     """From 0 to 1 over the window; 0 where all are equal."""
     low, high = F.min(column).over(window), F.max(column).over(window)

@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -31,6 +34,23 @@ def postings(docs: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, DataFr
     return tf, stats.select("field", "token", "idf", "avg_len")
 
 
+def weighted(index: tuple[DataFrame, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """Rows token, doc_id, part, tf, len: what a token adds to a document's score, over all fields, its count and the fields' words. What an index keeps, sorted by token."""
+    tf, stats = index
+    weight = F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("field"))
+    denominator = F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / F.col("avg_len"))
+    part = weight * F.col("idf") * F.col("tf") * (V.BM25_K1 + 1) / denominator * (1 + F.log(F.lit(2.0)))
+    return tf.join(stats, ["field", "token"]).groupBy("token", "doc_id").agg(F.sum(part).alias("part"), F.sum("tf").alias("tf"), F.sum("len").alias("len")).sortWithinPartitions("token")
+
+
+def met(terms: DataFrame, postings_: DataFrame) -> DataFrame:
+    """Rows query_id, doc_id, score, got, wanted, tf, len for query terms (query_id, token) and weighted postings: the BM25 score, and how many of the query's distinct terms the document has. One join and one aggregation serve all channels that need them."""
+    asked = terms.distinct()
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    found = asked.join(postings_, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("got"), F.sum("tf").alias("tf"), F.first("len").alias("len"))
+    return found.join(sizes, "query_id")
+
+
 def bm25(terms: DataFrame, index: tuple[DataFrame, DataFrame], weights: dict[str, float]) -> DataFrame:
     """Rows query_id, doc_id, score for query terms (query_id, token): the fields' weighted BM25, added up. A term counts once for a query."""
     tf, stats = index
@@ -163,15 +183,49 @@ def short_of_hits(hits: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return queries.join(found, "query_id", "left").where(F.coalesce("n", F.lit(0)) < max(min(limit, 20), 8)).select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
-    """The k vectors (vec_id, embedding) most alike each query (query_id, vector), at least `least`: a stated query set against all rows.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float, block: int = 2048) -> DataFrame:
+    """The k vectors (vec_id, embedding) most alike each query (query_id, vector) by cosine, rounded to six places, at least `least`, other than itself; ties by id.
 
-    Queries are broadcast if the caller's set is small; partial top-k cuts each task's rows before they are sent.
+    A stated query set against all rows: queries go to the tasks `block` at a time, each block with a pass over the vectors, in which a
+    task multiplies matrices and keeps each query's k best (with what equals the last), so what it sends doesn't grow with its rows.
+    Vectors without a length, and null ones, are like nothing.
     """
-    scored = vectors.join(queries, F.lit(True)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("vector"), F.col("embedding")), 6).alias("score"))
-    return top(scored.where((F.col("score") >= least) & (F.col("query_id") != F.col("doc_id"))), k)
+    out, rows = None, []
+
+    def search(rows: list) -> DataFrame:
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        asked = unit(np.array([r["vector"] for r in rows], np.float64)) if rows else np.zeros((0, 1))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+            for batch in batches:
+                some = batch.filter(pc.is_valid(batch.column(1)))
+                if not some.num_rows or not len(ids):
+                    continue
+                own = some.column(0).to_numpy()
+                likeness = np.round(asked @ unit(some.column(1).flatten().to_numpy().reshape(len(own), -1).astype(np.float64)).T, 6)
+                for i, row in enumerate(likeness):
+                    at = np.flatnonzero((row >= least) & (own != ids[i]))
+                    if len(at):
+                        scores, found = np.r_[best[i][0], row[at]], np.r_[best[i][1], own[at]]
+                        if len(scores) > k:
+                            keep = scores >= np.partition(scores, -k)[-k]
+                            scores, found = scores[keep], found[keep]
+                        best[i] = scores, found
+            sizes = [len(s) for s, _ in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([f for _, f in best]) if best else ids), pa.array(np.concatenate([s for s, _ in best]) if best else np.zeros(0))], ["query_id", "doc_id", "score"])
+
+        return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
+
+    for row in queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector").toLocalIterator():
+        rows.append(row)
+        if len(rows) == block:
+            out, rows = search(rows) if out is None else out.unionByName(search(rows)), []
+    if rows or out is None:
+        out = search(rows) if out is None else out.unionByName(search(rows))
+    return top(out, k)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of zeros stay."""
+    return rows / np.maximum(np.sqrt((rows * rows).sum(1)), 1e-300)[:, None]

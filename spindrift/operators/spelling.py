@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.functions import vocabulary as V
 
 
 def blocked_candidates(tokens: DataFrame, vocabulary: DataFrame, prefix: int) -> DataFrame:
@@ -22,6 +23,29 @@ def blocked_candidates(tokens: DataFrame, vocabulary: DataFrame, prefix: int) ->
     return found.withColumn("shared", T.shared_prefix(F.col("sig"), F.col("other"))).where("shared > 0 OR distance <= 1").drop("block")
 
 
+def vocabulary_of(documents: DataFrame, pairs: list[DataFrame], least: int) -> DataFrame:
+    """Rows token, freq: the words of known pairs (two text columns each), and those that at least `least` documents (words) have."""
+    counted = documents.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+    out = counted
+    for df in pairs:
+        for c in df.columns:
+            out = out.unionByName(df.select(F.explode(T.spelling_tokens(F.col(c))).alias("token"), F.lit(0).cast("long").alias("freq")))
+    return out.groupBy("token").agg(F.max("freq").alias("freq"))
+
+
+def is_skipped(token: Column, known: Column, protected: Column) -> Column:
+    """Whether a token isn't corrected: a stop word, a known or protected one, a number, shorter than four, with a digit, or Latin."""
+    return token.isin(V.STOP_WORDS) | known | protected | (F.length(token) < 4) | token.rlike("[0-9]") | token.rlike("^[a-z]+$")
+
+
+def near_variants(ranked: DataFrame, limit: int) -> DataFrame:
+    """Of ranked candidates (token, candidate, distance, shared, delta, freq) of each token the first `limit` that are at most one edit farther than the best and share a beginning, or are one edit away."""
+    by = Window.partitionBy("token")
+    near = ranked.withColumn("best", F.min("distance").over(by)).where("distance - best <= 1 AND (shared > 0 OR distance <= 1)")
+    order = by.orderBy("distance", F.desc("shared"), "delta", F.desc("freq"), "candidate")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("best")
+
+
 def confidence(distance: Column, shared: Column, freq: Column, next_distance: Column, next_freq: Column) -> Column:
     """From 0 to 0.99; the runner-up's columns are null without one."""
     alone = next_distance.isNull()

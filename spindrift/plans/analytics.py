@@ -68,7 +68,7 @@ def hot_items(spark, sf):
 
 
 FEED = f"""{B.PURCHASES},
-fav AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS place FROM (SELECT DISTINCT json_extract_string(props, '$.k')::BIGINT AS item_id FROM events WHERE event_type = 'click' AND user_id % 50 = 7) QUALIFY place <= 18),
+fav AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS place FROM (SELECT DISTINCT json_extract_string(props, '$.k')::BIGINT AS item_id FROM events WHERE event_type = 'click' AND user_id = 7) QUALIFY place <= 18),
 bought AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS place FROM (SELECT DISTINCT item_id FROM purchases WHERE user_id = 7) QUALIFY place <= 24),
 popular AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS place FROM (SELECT item_id, count(*) AS n FROM purchases GROUP BY 1) QUALIFY place <= 80),
 latest AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey DESC) AS place FROM part QUALIFY place <= 80),
@@ -80,7 +80,7 @@ def _feed(spark, sf):
     ranked = lambda df, n, *order: df.orderBy(*order).limit(n).select("item_id", F.row_number().over(C.Window.orderBy(*order)).cast("long").alias("place"))  # noqa: E731  at most n rows
     bought = B.purchases(spark, sf)
     sources = [
-        ("favorite", ranked(B.event_log(spark, sf).where("event_type = 'click' AND user_id % 50 = 7").select("item_id").distinct(), 18, "item_id")),
+        ("favorite", ranked(B.event_log(spark, sf).where("event_type = 'click' AND user_id = 7").select("item_id").distinct(), 18, "item_id")),
         ("purchased", ranked(bought.where("user_id = 7").select("item_id").distinct(), 24, "item_id")),
         ("popular", ranked(bought.groupBy("item_id").agg(F.count("*").alias("n")), 80, F.desc("n"), F.col("item_id"))),
         ("latest", ranked(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id")), 80, F.desc("item_id"))),
@@ -102,11 +102,12 @@ RELATED = f"""{B.ITEMS},
 w AS (SELECT item_id, category, supplier_id, list_distinct(string_split(lower(title), ' ')) AS words, list_distinct([lower(brand), size::VARCHAR]) AS attributes FROM items),
 pairs AS (
   SELECT a.item_id AS probe_id, b.item_id, round(CASE WHEN a.category = b.category THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN a.supplier_id = b.supplier_id THEN 0.2::DOUBLE ELSE 0 END
-         + least(len(list_intersect(a.words, b.words)) * 0.12::DOUBLE, 0.24::DOUBLE) + least(len(list_intersect(a.attributes, b.attributes)) * 0.1::DOUBLE, 0.2::DOUBLE), 4) AS score
+         + least(len(list_intersect(a.words, b.words)) * 0.12::DOUBLE, 0.24::DOUBLE) + least(len(list_intersect(a.attributes, b.attributes)) * 0.1::DOUBLE, 0.2::DOUBLE), 4) AS score,
+         array_to_string(list_filter([CASE WHEN a.category = b.category THEN 'same_category' END, CASE WHEN a.supplier_id = b.supplier_id THEN 'same_supplier' END, CASE WHEN list_has_any(a.words, b.words) THEN 'title_overlap' END, CASE WHEN list_has_any(a.attributes, b.attributes) THEN 'attribute_overlap' END], lambda r: r IS NOT NULL), ',') AS reasons
   FROM w a JOIN w b ON a.item_id <> b.item_id AND (a.category = b.category OR a.supplier_id = b.supplier_id) WHERE a.item_id IN (1, 2, 3, 5, 8))"""
 
 
-@query(W(RELATED) + "SELECT probe_id, item_id, score, (row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, item_id))::INTEGER AS rank FROM pairs QUALIFY rank <= 6")
+@query(W(RELATED) + "SELECT probe_id, item_id, score, reasons, (row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, item_id))::INTEGER AS rank FROM pairs QUALIFY rank <= 6")
 def related_items(spark, sf):
     items = B.items(spark, sf).withColumns({"words": F.array_distinct(F.split(F.lower("title"), " ")), "attributes": F.array_distinct(F.array(F.lower("brand"), F.col("size").cast("string")))})
     return C.related(items, spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8)], "item_id long"), 6)
@@ -117,9 +118,9 @@ def recent_purchases(spark, sf):
     return B.purchases(spark, sf).where("user_id = 7").select("user_id", "order_id", "item_id", "quantity", "bought_at").orderBy(F.desc("bought_at"), "order_id", "item_id", "quantity").limit(20)
 
 
-@query(W(B.ITEMS, B.PURCHASES) + "SELECT p.order_id, p.item_id, i.title, i.category FROM purchases p JOIN items i ON p.item_id = i.item_id WHERE p.user_id < 20")
+@query(W(B.ITEMS, B.PURCHASES) + "SELECT p.order_id, p.item_id, i.title, i.category FROM purchases p JOIN items i ON p.item_id = i.item_id")
 def purchase_lookup(spark, sf):
-    return B.purchases(spark, sf).where("user_id < 20").join(B.items(spark, sf), "item_id").select("order_id", "item_id", "title", "category")
+    return B.purchases(spark, sf).join(B.items(spark, sf), "item_id").select("order_id", "item_id", "title", "category")
 
 
 ENTRIES = "e AS (SELECT p_size AS set_id, p_partkey AS item_id, unnest([{'k': 'brand', 'v': p_brand}, {'k': 'type', 'v': p_type}, {'k': CASE WHEN p_partkey % 3 = 0 THEN 'name' ELSE 'size' END, 'v': p_name}]) AS a FROM part)"

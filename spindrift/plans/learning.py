@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators import behaviour as H
 from spindrift.operators import dataset as D
 from spindrift.operators import ranking as R
 from spindrift.operators import retrieval as S
@@ -46,40 +47,75 @@ def profile_merge(spark, sf):
     return both.select("user_id", F.array_join(R.prepend(F.col("old"), F.col("new"), 12), ",").alias("merged"))
 
 
-def _candidates(spark, sf):
+def candidates(spark, sf):
     """The asked queries' best parts with what the rule score needs, for the profile of user 7."""
     items = B.items(spark, sf).select(F.col("item_id").alias("doc_id"), F.lower("title").alias("title"), F.lower("description").alias("description"), F.lower(F.concat_ws(" ", "brand", F.col("size").cast("string"))).alias("attributes"), "category", "supplier", "price")
-    found = S.top(Q.part_bm25(spark, sf), 50).select("query_id", "doc_id", F.least(F.round(F.col("score") / 20, 4), F.lit(1.0)).alias("retrieval"))
+    flags = Q.structured_pairs(spark, sf, 50).select("query_id", "doc_id", F.least(F.round(F.col("bm25") / 20, 4), F.lit(1.0)).alias("retrieval"), "attribute_overlap", "brand_match", "numeric_match", "category_match")
     wanted = Q.asked(spark).select("query_id", T.normalize(F.col("q")).alias("query")).withColumn("terms", T.terms(F.col("query")))
+    bought = B.purchases(spark, sf)
+    org = bought.where("user_id = 7").select("org_id").distinct()
+    popular = R.most_common(bought.join(F.broadcast(org), "org_id", "left_semi"), ["org_id"], "item_id", "order_id", 8, "popular_items").select("popular_items")
+    seen = B.event_log(spark, sf).where("user_id = 7 AND item_id IS NOT NULL").groupBy("user_id", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("at"))
+    recent = R.last_values(seen, ["user_id"], "item_id", "at", 12, "recent_items").select("recent_items")
     lists = profiles(spark, sf).where("user_id = 7").select("top_categories", "top_suppliers")
-    rows = found.join(F.broadcast(wanted), "query_id").join(items, "doc_id").join(F.broadcast(lists))
-    overlap = F.size(F.filter("terms", lambda t: F.array_contains(F.split("attributes", "[ #]"), t)))
-    return rows.withColumns({"attribute_overlap": overlap, "brand_match": F.lit(False), "numeric_match": F.lit(False), "category_match": F.lit(False), "recent_items": F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>"), "popular_items": F.array(F.lit(5), F.lit(8)).cast("array<bigint>")})
+    return flags.join(F.broadcast(wanted), "query_id").join(items, "doc_id").join(F.broadcast(lists)).join(F.broadcast(recent)).join(F.broadcast(popular))
 
 
+def latin_sql(x: str) -> str:
+    return f"list_filter({x}, lambda x: regexp_matches(x, '{Q.V.BRAND_PATTERN}') AND NOT list_contains({Q.V.GENERIC_LATIN + Q.V.SIZES}, x))"
+
+
+def mixed_sql(x: str) -> str:
+    return f"list_filter({x}, lambda x: regexp_matches(x, '^[a-zа-я0-9-]+$') AND regexp_matches(x, '[a-zа-я]') AND regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '{Q.V.PAPER_PATTERN}'))"
+
+
+def sized_sql(x: str) -> str:
+    return f"list_filter({x}, lambda x: list_contains({Q.V.SIZES}, x) OR regexp_matches(x, '{Q.V.PAPER_PATTERN}') OR regexp_matches(x, '{Q.V.DIMENSION_PATTERN}'))"
+
+
+TITLE_TIERS = "CASE WHEN query = title THEN {0} WHEN starts_with(title, query) THEN {1} WHEN contains(title, query) THEN {2} WHEN contains(description, query) THEN {3} END"
+
 RANKED = f"""{Q.ASKED_SQL}, {Q.bm25_sql(Q.PART_INDEX, Q.V.FIELD_WEIGHTS, Q.ASKED_TERMS)},
 found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scored QUALIFY r <= 50),
 {PROFILE.replace(B.ITEMS + ", ", "")},
-c AS (SELECT f.query_id, f.doc_id, least(round(f.score / 20, 4), 1.0::DOUBLE) AS retrieval, {Q.norm_sql("q")} AS query, lower(title) AS title, lower(description) AS description, lower(brand || ' ' || size) AS attributes, category, supplier, price, list_distinct({Q.terms_sql(Q.norm_sql("q"))}) AS terms
+recent AS (SELECT list(item_id) AS recent FROM (SELECT json_extract_string(props, '$.k')::BIGINT AS item_id FROM events WHERE user_id = 7 GROUP BY 1 HAVING item_id IS NOT NULL ORDER BY max((ts, event_id)) DESC LIMIT 12)),
+popular AS (SELECT list(item_id) AS popular FROM (SELECT item_id FROM purchases WHERE org_id IN (SELECT org_id FROM purchases WHERE user_id = 7) GROUP BY 1 ORDER BY count(*) DESC, min(order_id), item_id LIMIT 8)),
+c AS (SELECT f.query_id, f.doc_id, least(round(f.score / 20, 4), 1.0::DOUBLE) AS retrieval, {Q.norm_sql("q")} AS query, lower(title) AS title, lower(description) AS description, lower(brand || ' ' || size) AS attributes, category, supplier, price,
+    {Q.terms_sql(Q.norm_sql("brand || ' ' || size"))} AS attribute_terms, {Q.words_sql(Q.norm_sql("title || ' ' || brand || ' ' || size || ' ' || category || ' ' || description"))} AS tokens, {Q.terms_sql(Q.norm_sql("title || ' ' || category"))} AS named
   FROM found f JOIN asked a ON f.query_id = a.query_id JOIN items i ON i.item_id = f.doc_id),
-base AS (SELECT c.*, round(CASE WHEN query = title THEN 0.75::DOUBLE WHEN starts_with(title, query) THEN 0.6::DOUBLE WHEN contains(title, query) THEN 0.45::DOUBLE WHEN contains(description, query) THEN 0.22::DOUBLE ELSE 0 END
-  + least(len(list_filter(terms, lambda t: contains(title, t) OR contains(description, t) OR contains(attributes, t))) * 0.08::DOUBLE, 0.24::DOUBLE)
-  + least(len(list_filter(terms, lambda t: list_contains(regexp_split_to_array(attributes, '[ #]'), t))) * 0.035::DOUBLE, 0.14::DOUBLE)
-  + least(retrieval * 0.55::DOUBLE, 0.55::DOUBLE)
-  + CASE WHEN list_contains(top_categories, category) THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN doc_id IN (1, 2, 3) THEN 0.15::DOUBLE ELSE 0 END
-  + CASE WHEN list_contains(top_suppliers, supplier) THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN doc_id IN (5, 8) THEN 0.08::DOUBLE ELSE 0 END, 4) AS score
-  FROM c, (SELECT * FROM profile WHERE user_id = 7))"""
+t AS (SELECT *, list_distinct({Q.terms_sql("query")}) AS terms, {Q.words_sql("query")} AS asked_tokens FROM c),
+flagged AS (SELECT *, list_distinct({latin_sql("asked_tokens")} || {mixed_sql("asked_tokens")} || {sized_sql("asked_tokens")}) AS wanted, {latin_sql("asked_tokens")} AS brands FROM t),
+marked AS (SELECT *, len(list_intersect(wanted, list_distinct(attribute_terms))) AS n_attributes, list_has_any(brands, {latin_sql("tokens")}) AS brand_match, false AS numeric_match,
+    list_has_any(list_filter(terms, lambda x: NOT list_contains(wanted, x) AND NOT regexp_matches(x, '^[0-9]+$')), named) AS category_match FROM flagged),
+parts AS (SELECT *, coalesce({TITLE_TIERS.format("0.75::DOUBLE", "0.6::DOUBLE", "0.45::DOUBLE", "0.22::DOUBLE")}, 0) AS tier, {TITLE_TIERS.format("'exact_title_match'", "'prefix_title_match'", "'partial_title_match'", "'description_match'")} AS tier_reason,
+    len(list_filter(terms, lambda t: contains(title, t) OR contains(description, t) OR contains(attributes, t))) AS n_terms,
+    coalesce(list_contains(top_categories, category), false) AS in_categories, coalesce(list_contains(recent, doc_id), false) AS in_recent, coalesce(list_contains(top_suppliers, supplier), false) AS in_suppliers, coalesce(list_contains(popular, doc_id), false) AS in_popular
+  FROM marked, (SELECT * FROM profile WHERE user_id = 7), recent, popular),
+base AS (SELECT *, round(tier + least(n_terms * 0.08::DOUBLE, 0.24::DOUBLE) + least(n_attributes * 0.035::DOUBLE, 0.14::DOUBLE) + CASE WHEN brand_match THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN numeric_match THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN category_match THEN 0.06::DOUBLE ELSE 0 END
+  + least(retrieval * 0.55::DOUBLE, 0.55::DOUBLE) + CASE WHEN in_categories THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN in_recent THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN in_suppliers THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN in_popular THEN 0.08::DOUBLE ELSE 0 END, 4) AS score,
+  list_filter([tier_reason, CASE WHEN n_terms > 0 THEN 'token_match' END, CASE WHEN n_attributes > 0 THEN 'attribute_match' END, CASE WHEN brand_match THEN 'brand_match' END, CASE WHEN numeric_match THEN 'numeric_constraint_match' END, CASE WHEN category_match THEN 'category_match' END, CASE WHEN retrieval > 0 THEN 'hybrid_retrieval' END,
+    CASE WHEN in_categories THEN 'matches_purchase_history' END, CASE WHEN in_recent THEN 'recent_interaction' END, CASE WHEN in_suppliers THEN 'popular_supplier' END, CASE WHEN in_popular THEN 'popular_in_organization' END], lambda x: x IS NOT NULL) AS reasons
+  FROM parts)"""
+
+
+@query(W(RANKED) + "SELECT query_id, doc_id, score, array_to_string(reasons, ',') AS reasons, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM base")
+def baseline_rank(spark, sf):
+    scored = R.rule_score(candidates(spark, sf), fuzzy=False)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).select("query_id", "doc_id", "score", F.array_join("reasons", ",").alias("reasons"), "rank")
 
 
-@query(W(RANKED) + "SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM base")
-def baseline_rank(spark, sf):
-    scored = R.rule_score(_candidates(spark, sf), fuzzy=False)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).select("query_id", "doc_id", "score", "rank")
+LABELS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in Q.V.REASON_LABELS.items()) + "}"
+
+
+@query(W(RANKED) + f"SELECT query_id, doc_id, array_to_string(list_transform(reasons, lambda r: coalesce({LABELS}[r], r)), ', ') AS labels FROM base")
+def reason_labels(spark, sf):
+    scored = R.rule_score(candidates(spark, sf), fuzzy=False)
+    return scored.select("query_id", "doc_id", F.array_join(H.labelled(F.col("reasons")), ", ").alias("labels"))
 
 
 @query()
 def baseline_rank_fuzzy(spark, sf):
-    return R.rule_score(_candidates(spark, sf), fuzzy=True).select("query_id", "doc_id", "score", F.array_join("reasons", ",").alias("reasons"))
+    return R.rule_score(candidates(spark, sf), fuzzy=True).select("query_id", "doc_id", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 BLEND = RANKED + """,
@@ -93,7 +129,7 @@ BLEND = BLEND.replace(" AS sr FROM p)", " AS sr FROM p WINDOW w AS (PARTITION BY
 
 
 def _blended(spark, sf):
-    scored = R.rule_score(_candidates(spark, sf), fuzzy=False).select("query_id", "doc_id", F.col("score").alias("baseline"), "retrieval", F.col("price").alias("prediction"))
+    scored = R.rule_score(candidates(spark, sf), fuzzy=False).select("query_id", "doc_id", F.col("score").alias("baseline"), "retrieval", F.col("price").alias("prediction"))
     return R.blend(scored, ["query_id"])
 
 
@@ -118,36 +154,56 @@ def org_cap(spark, sf):
     return D.capped(accepted, ["org_id"], [F.col("order_id"), F.col("item_id"), F.col("quantity")], 60)
 
 
+def catalog_sql(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-zа-я0-9]+'), lambda t: length(t) > 1))"
+
+
+#: Contracts are a twentieth of the parts, the stated query set, each with one of ten suppliers.
 MATCH = f"""{B.ITEMS},
-i AS (SELECT item_id, category, list_distinct({Q.terms_sql(Q.norm_sql('title'))}) AS words, list_distinct({Q.terms_sql(Q.norm_sql('category'))}) AS category_words FROM items),
-q AS (SELECT p_partkey AS query_id, list_distinct({Q.terms_sql(Q.norm_sql("p_name || ' ' || p_type"))}) AS asked FROM part WHERE p_partkey % 20 = 0),
-v AS (SELECT query_id, category, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, category) AS rank FROM (SELECT query_id, unnest(asked) AS word FROM q) JOIN (SELECT DISTINCT category, unnest(words) AS word FROM i) USING (word) GROUP BY 1, 2 QUALIFY rank <= 3)"""
+i AS (SELECT item_id, category, {catalog_sql("title")} AS words, {catalog_sql("category")} AS category_words, {catalog_sql("supplier")} AS supplier_words FROM items),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY item_id) AS place FROM i),
+slots AS (SELECT category, CASE WHEN place <= 24 THEN place - 1 ELSE (item_id * 7919 + 13) % 24 END AS slot, arg_max(item_id, place) AS item_id FROM numbered GROUP BY 1, 2),
+samples AS (SELECT i.* FROM i JOIN slots USING (item_id)),
+q AS (SELECT p_partkey AS query_id, {catalog_sql("p_name || ' ' || p_type")} AS asked, {catalog_sql("s_name")} AS asked_supplier FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10 WHERE p_partkey % 20 = 0),
+v AS (SELECT query_id, category, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, category) AS rank FROM (SELECT query_id, unnest(asked) AS word FROM q) JOIN (SELECT DISTINCT category, unnest(words) AS word FROM i) USING (word) GROUP BY 1, 2),
+s AS (SELECT query_id, item_id, samples.category, votes, rank, len(list_intersect(asked, words)) AS shared, round(3.0::DOUBLE * len(list_intersect(asked, words)) + 1.4::DOUBLE * len(list_intersect(asked, category_words)) + 2.0::DOUBLE * len(list_intersect(asked_supplier, supplier_words))
+  + CASE WHEN len(asked_supplier) > 0 AND list_sort(asked_supplier) = list_sort(supplier_words) THEN 4.0::DOUBLE ELSE 0 END, 4) AS score FROM v JOIN samples USING (category) JOIN q USING (query_id)),
+best AS (SELECT * FROM s WHERE rank <= 8 AND score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) = 1),
+c AS (SELECT query_id, item_id, category, shared, round(score + 0.25::DOUBLE * votes, 4) AS score FROM s WHERE rank <= 12)"""
 
 
 def _match_parts(spark, sf):
-    items = B.items(spark, sf).select("item_id", "category", T.terms(T.normalize(F.col("title"))).alias("words"), T.terms(T.normalize(F.col("category"))).alias("category_words"))
-    queries = table(spark, sf, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), T.terms(T.normalize(F.concat_ws(" ", "p_name", "p_type"))).alias("words"))
-    return queries, items
+    tokens = lambda *c: T.catalog_tokens(F.concat_ws(" ", *c))
+    items = B.items(spark, sf).select("item_id", "category", tokens("title").alias("words"), tokens("category").alias("category_words"), tokens("supplier").alias("supplier_words"))
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    contracts = table(spark, sf, "part").where("p_partkey % 20 = 0")
+    queries = contracts.join(suppliers, F.col("p_partkey") % 10 == F.col("s_suppkey"), "left").select(F.col("p_partkey").alias("query_id"), tokens("p_name", "p_type").alias("words"), tokens("s_name").alias("supplier_words"))
+    return queries, items, D.slot_sample(items, "category", "item_id", 24)
 
 
-@query(W(MATCH) + "SELECT query_id, category, votes, rank::INTEGER AS rank FROM v")
+@query(W(MATCH) + "SELECT query_id, category, votes, rank::INTEGER AS rank FROM v WHERE rank <= 8")
 def category_votes(spark, sf):
-    queries, items = _match_parts(spark, sf)
-    return D.token_votes(queries, items.select("category", "words"), 3)
+    queries, items, _ = _match_parts(spark, sf)
+    return D.token_votes(queries, items.select("category", "words"), 8)
 
 
-@query(W(MATCH) + ", s AS (SELECT query_id, item_id, round(3.0::DOUBLE * len(list_intersect(asked, words)) + 1.4::DOUBLE * len(list_intersect(asked, category_words)), 4) AS score FROM v JOIN i USING (category) JOIN q USING (query_id)) SELECT query_id, item_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) = 1")
+@query(W(MATCH) + "SELECT query_id, item_id, category, score FROM best")
 def match_contracts(spark, sf):
-    queries, items = _match_parts(spark, sf)
-    return D.matches(queries, items, 3)
+    return D.matches(D.sample_scores(*_match_parts(spark, sf), 8)).select("query_id", "item_id", "category", "score")
+
+
+@query(W(MATCH) + "SELECT query_id, item_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id))::INTEGER AS rank FROM c QUALIFY rank <= 15")
+def candidate_items(spark, sf):
+    return D.candidate_items(D.sample_scores(*_match_parts(spark, sf), 12), 15).select("query_id", "item_id", "score", "rank")
 
 
-@query(W(MATCH) + ", c AS (SELECT q.query_id, i.item_id, len(list_intersect(asked, words)) AS shared, i.category, p_type FROM q JOIN part ON p_partkey = query_id JOIN i ON i.category = p_type OR i.item_id = query_id) SELECT query_id, item_id, (CASE WHEN query_id = item_id THEN 3 WHEN category = p_type AND shared > 0 THEN 1 ELSE 0 END)::INTEGER AS label FROM c")
+@query(W(MATCH) + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM c QUALIFY rank <= 15)
+SELECT k.query_id, k.item_id, (CASE WHEN k.item_id = best.item_id THEN 3 WHEN k.category = best.category AND k.shared > 0 THEN 1 ELSE 0 END)::INTEGER AS label FROM k JOIN best USING (query_id)""")
 def soft_labels(spark, sf):
-    queries, items = _match_parts(spark, sf)
-    own = items.select(F.col("item_id").alias("query_id"), F.col("category").alias("own"))
-    pairs = queries.withColumnRenamed("words", "asked").join(own, "query_id").join(items, F.col("own") == F.col("category"))
-    return pairs.select("query_id", "item_id", D.soft_label(F.col("query_id") == F.col("item_id"), F.col("own") == F.col("category"), F.size(F.array_intersect("asked", "words"))).alias("label"))
+    scored = D.sample_scores(*_match_parts(spark, sf), 12)
+    best = D.matches(D.sample_scores(*_match_parts(spark, sf), 8)).select("query_id", F.col("item_id").alias("best"), F.col("category").alias("best_category"))
+    pairs = D.candidate_items(scored, 15).join(best, "query_id")
+    return pairs.select("query_id", "item_id", D.soft_label(F.col("item_id") == F.col("best"), F.col("category") == F.col("best_category"), F.col("shared")).alias("label"))
 
 
 STARTED = "started AS (SELECT user_id, session, min(ts) AS started_at FROM sessions GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM started), placed AS (SELECT *, row_number() OVER (ORDER BY started_at, user_id, session) - 1 AS place FROM started)"

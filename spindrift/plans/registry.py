@@ -21,7 +21,7 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from spindrift.plans import analytics, learning, resolution, search, streams  # noqa: F401  they register their queries
+    from spindrift.plans import analytics, behaviour, features, learning, resolution, search, streams  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable]:

@@ -82,16 +82,7 @@ def event_type_sets(spark, sf):
     return B.sessions(spark, sf).groupBy("user_id", "session", "item_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
 
 
-TITLES = {"view": "Viewed an item", "click": "Opened a result", "purchase": "Bought an item", "signup": "Signed up"}
-
-
-@query("SELECT event_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TITLES.items()) + " ELSE 'Other activity' END AS title, event_type || ' of ' || coalesce(json_extract_string(props, '$.k'), '-') AS description FROM events WHERE user_id < 20")
-def activity_titles(spark, sf):
-    named = F.coalesce(F.try_element_at(T.literal_map(TITLES), F.col("event_type")), F.lit("Other activity"))
-    return B.event_log(spark, sf).where("user_id < 20").select("event_id", named.alias("title"), F.concat(F.col("event_type"), F.lit(" of "), F.coalesce(F.col("item_id").cast("string"), F.lit("-"))).alias("description"))
-
-
-@query()
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey LIMIT 50")
 def collated_names(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", "s_name").orderBy(F.collate("s_name", "RU"), "s_suppkey").limit(50)
 

@@ -11,6 +11,7 @@ from spindrift.operators import spelling as S
 from spindrift.plans import bindings as B
 from spindrift.plans.registry import query
 from spindrift.session import table
+from spindrift.sources.portal import indexed
 
 W = B.with_sql
 
@@ -78,7 +79,7 @@ def bm25_parts(spark, sf):
 
 
 DOC_WORDS = f"words AS (SELECT doc_id, unnest({terms_sql(norm_sql('text'))}) AS token FROM documents)"
-PASSAGES = f"asked AS (SELECT item_id AS query_id, list_distinct({terms_sql(norm_sql('text'))}[:6]) AS w FROM benchmark)"
+PASSAGES = f"asked AS (SELECT item_id AS query_id, list_distinct({terms_sql(norm_sql('text'))}) AS w FROM benchmark)"
 
 
 def doc_words(spark, sf):
@@ -86,7 +87,18 @@ def doc_words(spark, sf):
 
 
 def passages(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(T.terms(T.normalize(F.col("text")), distinct=False), 1, 6))).alias("token"))
+    """Queries: all terms of each benchmark text."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.terms(T.normalize(F.col("text")))).alias("token"))
+
+
+def doc_postings(spark, sf):
+    """The weighted postings of the documents, built once for each state of their files."""
+
+    def build():
+        docs = table(spark, sf, "documents").select("doc_id", T.terms(T.normalize(F.col("text")), distinct=False).alias("words"))
+        return R.weighted(R.postings(docs, {"description": "words"}), V.FIELD_WEIGHTS)
+
+    return indexed(spark, f"{sf}/documents.parquet", "postings", build)
 
 
 DOC_INDEX = f"fields AS (SELECT doc_id, 'description' AS field, {terms_sql(norm_sql('text'))} AS w FROM documents)"
@@ -94,15 +106,15 @@ DOC_INDEX = f"fields AS (SELECT doc_id, 'description' AS field, {terms_sql(norm_
 
 @query(W(PASSAGES, bm25_sql(DOC_INDEX, {"description": 0.7}, "SELECT query_id, unnest(w) AS token FROM asked")) + "SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scored QUALIFY rank <= 10")
 def bm25_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.terms(T.normalize(F.col("text")), distinct=False).alias("words"))
-    return R.top(R.bm25(passages(spark, sf), R.postings(docs, {"description": "words"}), V.FIELD_WEIGHTS), 10)
+    return R.top(R.met(passages(spark, sf), doc_postings(spark, sf)).select("query_id", "doc_id", "score"), 10)
 
 
 @query(W(DOC_WORDS, PASSAGES) + """, terms AS (SELECT query_id, unnest(w) AS token FROM asked), c AS (SELECT doc_id, token, count(*) AS tf FROM words GROUP BY 1, 2), l AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
 f AS (SELECT query_id, doc_id, count(*) AS got, sum(tf) AS tf FROM terms JOIN c USING (token) GROUP BY 1, 2), s AS (SELECT query_id, count(*) AS wanted FROM terms GROUP BY 1)
 SELECT query_id, doc_id, round(tf / n, 6) AS score FROM f JOIN s USING (query_id) JOIN l USING (doc_id) WHERE got = wanted""")
 def phrase_and_match(spark, sf):
-    return R.all_terms_match(passages(spark, sf), doc_words(spark, sf))
+    found = R.met(passages(spark, sf), doc_postings(spark, sf)).where("got = wanted")
+    return found.select("query_id", "doc_id", F.round(F.col("tf") / F.col("len"), 6).alias("score"))
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS normalized FROM documents")
@@ -112,7 +124,7 @@ def normalize_docs(spark, sf):
 
 @query(W(DOC_WORDS) + "SELECT token, count(DISTINCT doc_id) AS df, count(*) AS n FROM words GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2")
 def tokens_df(spark, sf):
-    return doc_words(spark, sf).groupBy("doc_id", "token").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("n")).where("df >= 2")
+    return doc_postings(spark, sf).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where("df >= 2")
 
 
 TOKENS = f"tokens AS (SELECT DISTINCT unnest({words_sql(norm_sql('text'))}) AS token FROM documents)"
@@ -157,35 +169,57 @@ def trigram_similarity(spark, sf):
     return R.gram_candidates(wanted, names, 0.3).withColumnRenamed("doc_id", "title")
 
 
-VOCABULARY = DOC_WORDS + """, vocab AS (SELECT token, count(DISTINCT doc_id) AS freq FROM words WHERE regexp_matches(token, '^[a-z]{4,9}$') GROUP BY 1),
-wrong AS (SELECT token FROM vocab WHERE freq = 1 AND length(token) >= 5), good AS (SELECT * FROM vocab WHERE freq >= 5)"""
+def sig_sql(x: str) -> str:
+    return f"translate({x}, '{V.SIGNATURE_FROM}', '{V.SIGNATURE_TO}')"
+
 
+def vocabulary_sql(wrong: str, good: str) -> str:
+    """Words to correct and words to correct to, with their signatures, and pairs that begin with the same one or two letters."""
+    edits = "CASE WHEN length(sig) <= 4 THEN 1 WHEN length(sig) <= 8 THEN 2 ELSE 3 END"
+    pair = lambda n, of: f"SELECT w.token, g.token AS candidate, g.freq, w.sig, g.sig AS other, most FROM {of} w JOIN good g ON w.sig[:{n}] = g.sig[:{n}] AND abs(length(w.token) - length(g.token)) <= most AND length(g.sig) >= 3 AND w.token <> g.token"
+    return f"""{DOC_WORDS}, vocab AS (SELECT token, {sig_sql("token")} AS sig, count(DISTINCT doc_id) AS freq FROM words WHERE regexp_matches(token, '^[a-zа-я]+$') GROUP BY 1),
+wrong AS (SELECT *, {edits} AS most FROM vocab WHERE {wrong}), good AS (SELECT * FROM vocab WHERE {good}),
+sized AS (SELECT DISTINCT w.token FROM wrong w JOIN (SELECT DISTINCT sig[:2] AS block, length(sig) AS n FROM good) g ON w.sig[:2] = block AND n BETWEEN greatest(3, length(w.sig) - most) AND length(w.sig) + most),
+rest AS (SELECT * FROM wrong WHERE token NOT IN (SELECT token FROM sized)),
+two AS ({pair(2, "wrong")}), one AS ({pair(1, "rest")}),
+measured AS (SELECT *, least(levenshtein(sig, other), levenshtein(token, candidate))::INTEGER AS distance FROM {{pairs}}),
+near AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(sig), length(other)) + 1), lambda i: sig[:i] = other[:i])), 0) AS shared FROM measured WHERE distance <= most)"""
 
-@query(W(VOCABULARY) + """, p AS (SELECT w.token, g.token AS candidate, levenshtein(w.token, g.token)::INTEGER AS distance, g.freq FROM wrong w JOIN good g ON w.token[:2] = g.token[:2] AND abs(length(w.token) - length(g.token)) <= CASE WHEN length(w.token) <= 8 THEN 2 ELSE 3 END AND length(g.token) >= 3)
-SELECT token, candidate, distance, freq FROM p WHERE distance <= CASE WHEN length(token) <= 8 THEN 2 ELSE 3 END""")
+
+@query(W(vocabulary_sql("freq = 1 AND length(token) >= 4", "freq >= 5 AND length(token) >= 3").replace("{pairs}", "two")) + "SELECT token, candidate, distance, freq FROM near WHERE shared > 0 OR distance <= 1")
 def spell_candidates(spark, sf):
-    vocab = doc_words(spark, sf).where("token RLIKE '^[a-z]{4,9}$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
-    return S.blocked_candidates(vocab.where("freq = 1 AND length(token) >= 5").select("token"), vocab.where("freq >= 5").select(F.col("token").alias("candidate"), "freq"), prefix=2).select("token", "candidate", "distance", "freq")
+    vocab = doc_words(spark, sf).where("token RLIKE '^[a-zа-я]+$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
+    return S.blocked_candidates(vocab.where("freq = 1 AND length(token) >= 4").select("token"), vocab.where("freq >= 5 AND length(token) >= 3").select(F.col("token").alias("candidate"), "freq"), prefix=2).select("token", "candidate", "distance", "freq")
 
 
-@query()
+CORRECTED = """o AS (SELECT *, abs(length(candidate) - length(token)) AS delta FROM near WHERE shared > 0 OR distance <= 1),
+r AS (SELECT *, row_number() OVER w AS place, lead(distance) OVER w AS d2, lead(shared) OVER w AS s2, lead(delta) OVER w AS l2, lead(freq) OVER w AS f2 FROM o WINDOW w AS (PARTITION BY token ORDER BY distance, shared DESC, delta, freq DESC, candidate)),
+best AS (SELECT *, CASE WHEN d2 IS NULL THEN 2 ELSE d2 - distance END AS margin FROM r WHERE place = 1
+  AND NOT coalesce(distance = d2 AND shared = s2 AND delta = l2 AND NOT (freq >= 5 AND freq >= 4 * greatest(f2, 1)), false) AND NOT coalesce(distance = most AND d2 <= distance, false)),
+sc AS (SELECT token, candidate AS corrected, round(greatest(0::DOUBLE, least(0.99::DOUBLE, 0.32::DOUBLE + CASE WHEN distance <= 1 THEN 0.3::DOUBLE WHEN distance = 2 THEN 0.18::DOUBLE ELSE 0.08::DOUBLE END
+  + CASE WHEN shared >= 3 THEN 0.2::DOUBLE WHEN shared >= 2 THEN 0.15::DOUBLE WHEN shared >= 1 THEN 0.08::DOUBLE ELSE 0 END
+  + CASE WHEN margin >= 2 THEN 0.2::DOUBLE WHEN margin >= 1 THEN 0.12::DOUBLE WHEN d2 IS NOT NULL THEN -0.08::DOUBLE ELSE 0 END
+  + CASE WHEN freq >= 5 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN d2 IS NOT NULL AND freq >= 2 * greatest(f2, 1) THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN d2 IS NULL THEN 0.05::DOUBLE ELSE 0 END)), 4) AS score FROM best)"""
+
+
+@query(W(vocabulary_sql("freq = 1 AND length(token) >= 4", "freq >= 5 AND length(token) >= 3").replace("{pairs}", "(SELECT * FROM two UNION ALL SELECT * FROM one)"), CORRECTED) + "SELECT token, corrected, score, CASE WHEN score >= 0.82 THEN 'high' WHEN score >= 0.64 THEN 'medium' ELSE 'low' END AS confidence FROM sc")
 def spell_corrections(spark, sf):
-    vocab = doc_words(spark, sf).where("token RLIKE '^[a-z]{3,}$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
-    return S.corrections(vocab.where("freq = 1 AND length(token) >= 4").select("token"), vocab.where("freq >= 5").select(F.col("token").alias("candidate"), "freq"))
+    vocab = doc_words(spark, sf).where("token RLIKE '^[a-zа-я]+$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
+    return S.corrections(vocab.where("freq = 1 AND length(token) >= 4").select("token"), vocab.where("freq >= 5 AND length(token) >= 3").select(F.col("token").alias("candidate"), "freq"))
 
 
-def _structured(spark, sf):
-    """Pairs of the asked queries and the best parts by BM25, with both analyses."""
+def structured_pairs(spark, sf, k=300):
+    """Pairs of the asked queries and their k best parts by BM25, with both analyses and bm25, the score."""
     docs = part_docs(spark, sf).withColumns({"title_lemmas": T.lemmas(F.col("title_terms")), "category_lemmas": T.lemmas(F.col("category_terms"))}).withColumnRenamed("attributes_terms", "attribute_terms")
     docs = T.with_analysis(docs, F.concat_ws(" ", "title", "attributes", "category", "description"), "d")
-    short = R.top(part_bm25(spark, sf), 300).select("query_id", "doc_id")
+    short = R.top(part_bm25(spark, sf), k).select("query_id", "doc_id", F.col("score").alias("bm25"))
     wanted = T.with_analysis(asked(spark), F.col("q"), "q")
     return R.structured_scores(short.join(F.broadcast(wanted), "query_id").join(docs, "doc_id"))
 
 
 @query()
 def structured_scores(spark, sf):
-    return _structured(spark, sf).select("query_id", "doc_id", "exact_score", "attribute_score", "attribute_overlap", "category_match", "brand_match", "numeric_match", "strict_coverage")
+    return structured_pairs(spark, sf).select("query_id", "doc_id", "exact_score", "attribute_score", "attribute_overlap", "category_match", "brand_match", "numeric_match", "strict_coverage")
 
 
 @query()
@@ -202,12 +236,9 @@ fused AS (SELECT query_id, doc_id, round(least(sum(CASE channel WHEN 'bm25' THEN
 
 
 def _channels(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.terms(T.normalize(F.col("text")), distinct=False).alias("words"))
-    wanted = passages(spark, sf)
-    lexical = R.top(R.bm25(wanted, R.postings(docs, {"description": "words"}), V.FIELD_WEIGHTS), 60).withColumn("channel", F.lit("bm25"))
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
-    counted = wanted.join(docs.select("doc_id", F.explode(F.array_distinct("words")).alias("token")), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("got"))
-    coverage = R.top(counted.join(sizes, "query_id").select("query_id", "doc_id", F.round(F.col("got") / F.col("n"), 6).alias("score")), 60).withColumn("channel", F.lit("exact_structured"))
+    found = R.met(passages(spark, sf), doc_postings(spark, sf))
+    lexical = R.top(found.select("query_id", "doc_id", "score"), 60).withColumn("channel", F.lit("bm25"))
+    coverage = R.top(found.select("query_id", "doc_id", F.round(F.col("got") / F.col("wanted"), 6).alias("score")), 60).withColumn("channel", F.lit("exact_structured"))
     return lexical.unionByName(coverage)
 
 
@@ -221,7 +252,7 @@ def rrf(spark, sf):
 def two_phase_search(spark, sf):
     """Cheap channels choose parts, structured and fuzzy ones score these, all ranks are fused."""
     cheap = R.top(part_bm25(spark, sf), 300)
-    scored = _structured(spark, sf)
+    scored = structured_pairs(spark, sf)
     parts = [cheap.withColumn("channel", F.lit("bm25"))]
     for name, column in (("exact_structured", "exact_score"), ("attribute", "attribute_score")):
         parts.append(R.top(scored.where(F.col(column).isNotNull()).select("query_id", "doc_id", F.col(column).alias("score")), 60).withColumn("channel", F.lit(name)))
@@ -234,7 +265,8 @@ def two_phase_search(spark, sf):
 @query(W(DOC_WORDS, PASSAGES) + ", terms AS (SELECT query_id, unnest(w) AS token FROM asked), f AS (SELECT query_id, doc_id, count(*) AS got FROM terms JOIN (SELECT DISTINCT doc_id, token FROM words) USING (token) GROUP BY 1, 2), m AS (SELECT query_id, count(*) AS n FROM f JOIN (SELECT query_id, count(*) AS wanted FROM terms GROUP BY 1) USING (query_id) WHERE got = wanted GROUP BY 1) SELECT query_id, coalesce(n, 0) AS n FROM asked LEFT JOIN m USING (query_id) WHERE coalesce(n, 0) < 20")
 def fallback_gate(spark, sf):
     wanted = passages(spark, sf)
-    return R.short_of_hits(R.all_terms_match(wanted, doc_words(spark, sf)), wanted.select("query_id").distinct(), 60)
+    whole = R.met(wanted, doc_postings(spark, sf)).where("got = wanted")
+    return R.short_of_hits(whole, wanted.select("query_id").distinct(), 60)
 
 
 @query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from spindrift.plans import bindings as B
 from spindrift.plans.registry import query
-from spindrift.session import table
+from spindrift.session import shared_uri, table
 from spindrift.streaming import events as E
 
 W = B.with_sql
 
 
-def checkpoint(spark) -> str:
-    """The shared folder; where none is set, as in tests, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-stream-")
-
-
 def stream(spark, sf):
     return E.event_stream(spark, f"{sf}/[e]vents.parquet", table(spark, sf, "events").schema)
 
@@ -24,10 +17,10 @@ def stream(spark, sf):
 @query(W(B.EVENTS, B.ITEMS) + "SELECT event_id, log.item_id, event_type, coalesce(category, '') AS category, supplier_id FROM log LEFT JOIN items ON log.item_id = items.item_id WHERE event_type IN ('view', 'click', 'purchase') AND log.item_id IS NOT NULL AND value BETWEEN 0 AND 1e6")
 def stream_ingest(spark, sf):
     good, _ = E.validated(stream(spark, sf), ["view", "click", "purchase"])
-    return E.drained(E.enriched(good, B.items(spark, sf)).select("event_id", "item_id", "event_type", "category", "supplier_id"), checkpoint(spark))
+    return E.drained(E.enriched(good, B.items(spark, sf)).select("event_id", "item_id", "event_type", "category", "supplier_id"), shared_uri(spark))
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily(spark, sf):
     timed = stream(spark, sf).withColumn("ts", E.F.col("ts").cast("timestamp"))
-    return E.drained(E.daily(timed), checkpoint(spark), "complete")
+    return E.drained(E.daily(timed), shared_uri(spark), "complete")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -39,6 +42,27 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a temporary one. A cluster without it raises an error."""
+    uri = spark.conf.get("spark.checkpoint.dir", None)
+    if uri:
+        return uri.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not os.path.isdir(getattr(shared_uri, "own", "")):
+        shared_uri.own = tempfile.mkdtemp(prefix="spindrift-")
+        atexit.register(shutil.rmtree, shared_uri.own, True)
+    return f"file://{shared_uri.own}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written to the shared folder, where they outlive any executor."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_uri(spark))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A driver table, read from any path that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

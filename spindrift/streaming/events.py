@@ -72,11 +72,23 @@ def dwell(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that the stream has now, through a sink in memory, as a table. For checks; a pipeline writes to a lasting sink."""
-    name = f"drained_{uuid.uuid4().hex[:12]}"
-    done = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    """All that the stream has now, written to Parquet below the shared folder `checkpoint`, as a table.
+
+    Each batch is a folder of its number, so a batch that comes again replaces itself; in complete mode the last batch has all rows.
+    """
+    spark, path = stream.sparkSession, f"{checkpoint}/drained-{uuid.uuid4().hex}"
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        last.append(number)
+
+    done = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     done.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={max(last)}" if mode == "complete" else f"{path}/rows")
+    return rows.select(*stream.columns)
 
 
 def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):

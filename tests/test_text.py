@@ -39,7 +39,7 @@ def test_analysis(spark):
 
 def test_attribute_entries(spark):
     got = one(spark, T.attribute_entries, "Цвет:белый;Цвет:белый;Цвет:синий;x;a:b:c")
-    assert [tuple(e) for e in got] == [("Цвет", "белый"), ("Цвет (2)", "синий"), ("Атрибут 4", "x"), ("a", "b:c")]
+    assert [tuple(e) for e in got] == [("Цвет", "белый"), ("Цвет (2)", "синий"), ("Атрибут 3", "x"), ("a", "b:c")]
     assert one(spark, T.attribute_entries, None) == []
 
 
