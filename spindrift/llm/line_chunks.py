@@ -99,14 +99,14 @@ class Chunker:
 
 
 def _places(docs: DataFrame, chunker: Chunker) -> DataFrame:
-    """Rows doc_id, text_hash, place (the chunk's number in its text), hash, check (of the bytes). Places of a chunk in a text don't overlap."""
+    """Rows doc_id, text_hash, place (the chunk's number in its text), hash, check (of the bytes), apart (lines lie between it and the chunk before). Places of a chunk in a text don't overlap."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames(batches):
-            row, place, hashes, checks = [], [], [], []
+            row, place, hashes, checks, apart = [], [], [], [], []
             for i, text in enumerate(strings(batch.column(2))):
-                lines, ends = text.split("\n"), {}
+                lines, ends, last = text.split("\n"), {}, 0
                 for n, (a, b, h) in enumerate(chunker.cut(lines)):
                     if a >= ends.get(h, 0):
                         ends[h] = b
@@ -114,10 +114,12 @@ def _places(docs: DataFrame, chunker: Chunker) -> DataFrame:
                         place.append(n)
                         hashes.append(h - HALF)
                         checks.append(xxhash.xxh64_intdigest("\n".join(lines[a:b]).encode("utf-8", "surrogatepass"), 1) - HALF)
+                        apart.append(a > last)
+                    last = max(last, b)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place, pa.int32()), pa.array(hashes, pa.int64()), pa.array(checks, pa.int64())], ["doc_id", "text_hash", "place", "hash", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place, pa.int32()), pa.array(hashes, pa.int64()), pa.array(checks, pa.int64()), pa.array(apart, pa.bool_())], ["doc_id", "text_hash", "place", "hash", "check", "apart"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, place int, hash long, check long")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, place int, hash long, check long, apart boolean")
 
 
 def _texts(wanted: DataFrame, chunker: Chunker) -> DataFrame:
@@ -149,7 +151,8 @@ def _same_row(left: DataFrame, id_col: str, text_hash: str) -> F.Column:
 def repeated_places(own: DataFrame, chunker: Chunker, most_broadcast: int) -> DataFrame:
     """Rows __id, __hash, __places: for each text of `own` (doc_id, text, text_hash) with repeated chunks its array of (place, goes, own, before, after).
 
-    own: the place that stays is in the same text; before and after are the lines beside it. Places that stay have neither.
+    own: the place that stays is in the same text; before and after are the lines beside it. Places that stay have neither, nor have places
+    beside another that goes for the place beside the same one, as that one's extension is as long.
     """
     places = settle(_places(own, chunker))
     repeated = places.groupBy("hash", "check").agg(F.count("*").alias("n")).where("n > 1").select("hash", "check")
@@ -157,15 +160,25 @@ def repeated_places(own: DataFrame, chunker: Chunker, most_broadcast: int) -> Da
     by_text = settle(hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set("place")).alias("places")))
     wanted = own.join(broadcast_if_small(by_text, F.lit(24) + 4 * F.size("places"), most_broadcast), _same_row(own, "doc_id", "text_hash")).drop("__id", "__hash")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "text_hash", "before", "after")).alias("stays")
-    classes = settle(_texts(wanted, chunker).groupBy("hash", "check", "chunk").agg(least, F.count("*").alias("n")).drop("chunk"))
+    classes = _texts(wanted, chunker).groupBy("hash", "check", "chunk").agg(least, F.count("*").alias("n")).drop("chunk")
     alone = Window.partitionBy("hash", "check")  # two texts of equal hashes: neither is removed
-    classes = classes.withColumn("texts", F.count("*").over(alone)).where("texts = 1 AND n > 1").select("hash", "check", "stays")
+    classes = settle(classes.withColumn("texts", F.count("*").over(alone)).where("texts = 1 AND n > 1").select("hash", "check", "stays"))  # apart from the join, so that Spark may split a hot chunk there
     found = hits.join(classes, ["hash", "check"])
     own_text = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
     found = found.withColumn("own", own_text).withColumn("goes", ~(F.col("own") & (F.col("place") == F.col("stays.place"))))
     beside = [F.when(F.col("goes") & (F.col(f"stays.{side}") != ""), F.col(f"stays.{side}")).alias(side) for side in ("before", "after")]
-    entries = found.select("doc_id", "text_hash", F.struct("place", "goes", "own", *beside).alias("e"))
-    return settle(entries.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set("e")).alias("__places")).where(F.exists("__places", lambda e: e["goes"])))
+    kept = [F.xxhash64("stays.doc_id", "stays.text_hash").alias("text"), F.col("stays.place").alias("at")]
+    entries = found.select("doc_id", "text_hash", F.struct("place", "goes", "own", "apart", *kept, *beside).alias("e"))
+    grouped = entries.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set("e")).alias("e")).where(F.exists("e", lambda e: e["goes"]))
+
+    def trimmed(e: F.Column, i: F.Column) -> F.Column:
+        def goes_on(a: F.Column, b: F.Column) -> F.Column:
+            return F.coalesce(a["goes"] & b["goes"] & (a["place"] + 1 == b["place"]) & ~b["apart"] & (a["text"] == b["text"]) & (a["at"] + 1 == b["at"]), F.lit(False))
+
+        before, after = F.get("e", i - 1), F.get("e", i + 1)
+        return F.struct(e["place"].alias("place"), e["goes"].alias("goes"), e["own"].alias("own"), F.when(~goes_on(before, e), e["before"]).alias("before"), F.when(~goes_on(e, after), e["after"]).alias("after"))
+
+    return settle(grouped.select("__id", "__hash", F.transform("e", trimmed).alias("__places")))
 
 
 def _near(context: str | None) -> list[str]:
