@@ -82,24 +82,38 @@ def fix_layout(normalized: Column) -> Column:
     return F.when(fixed != normalized, fixed)
 
 
+def _by_ending(term: Column, give) -> Column:
+    """What `give` (stem, replacement) makes of a word by the first ending that leaves three letters; null without one. One flat case, so that plans stay small."""
+    out = None
+    for suffix, base in V.SUFFIXES:
+        fits = term.endswith(suffix) & (F.length(term) >= len(suffix) + 3)
+        made = give(term.substr(F.lit(1), F.length(term) - len(suffix)), base)
+        out = F.when(fits, made) if out is None else out.when(fits, made)
+    return out
+
+
+def _is_word(term: Column) -> Column:
+    return term.rlike(f"^[а-я]{{1,{V.LONGEST_TOKEN}}}$")
+
+
+def _ends_in_i(term: Column) -> Column:
+    return term.endswith("и") & (F.length(term) >= 5)
+
+
 def fallback_variants(term: Column) -> Column:
-    """Stems and base forms of a Cyrillic word by its ending."""
-    last = F.substring(term, -2, 1)
+    """Stems and base forms of a Cyrillic word by its ending, in order: of a last и its stem (and the stem with а after some letters), then of the first ending the base and a stem of four letters."""
+    none = F.array().cast(EMPTY)
     stem_i = term.substr(F.lit(1), F.length(term) - 1)
-    from_i = F.when(term.endswith("и") & (F.length(term) >= 5), F.when(last.isin(list(V.ENDINGS_TO_A)), F.array(stem_i, F.concat(stem_i, F.lit("а")))).otherwise(F.array(stem_i))).otherwise(F.array().cast(EMPTY))
-    rule = F.lit(None).cast("struct<stem:string,base:string>")
-    for suffix, base in reversed(V.SUFFIXES):
-        stem = term.substr(F.lit(1), F.length(term) - len(suffix))
-        rule = F.when(term.endswith(suffix) & (F.length(term) >= len(suffix) + 3), F.struct(stem.alias("stem"), F.concat(stem, F.lit(base)).alias("base"))).otherwise(rule)
-    looks = F.length(rule["base"]) >= 3
-    by_rule = F.concat(F.when(looks, F.array(rule["base"])).otherwise(F.array().cast(EMPTY)), F.when(F.length(rule["stem"]) >= 4, F.array(rule["stem"])).otherwise(F.array().cast(EMPTY)))
-    found = F.array_distinct(F.concat(from_i, F.when(rule.isNotNull(), by_rule).otherwise(F.array().cast(EMPTY))))
-    return F.when(term.rlike("^[а-я]{1,64}$"), F.filter(found, lambda x: x != term)).otherwise(F.array().cast(EMPTY))
+    from_i = F.when(_ends_in_i(term), F.when(F.substring(term, -2, 1).isin(list(V.ENDINGS_TO_A)), F.array(stem_i, F.concat(stem_i, F.lit("а")))).otherwise(F.array(stem_i))).otherwise(none)
+    by_rule = _by_ending(term, lambda stem, base: F.when(F.length(stem) >= 4, F.array(F.concat(stem, F.lit(base)), stem)).otherwise(F.array(F.concat(stem, F.lit(base)))))
+    found = F.array_distinct(F.concat(from_i, F.coalesce(by_rule, none)))
+    return F.when(_is_word(term), F.filter(found, lambda x: x != term)).otherwise(none)
 
 
 def lemma(term: Column) -> Column:
     """The first fallback variant of a word, or the word. Stands in for a morphological analyser."""
-    return F.coalesce(F.try_element_at(fallback_variants(term), F.lit(1)), term)
+    by_rule = _by_ending(term, lambda stem, base: F.concat(stem, F.lit(base)))
+    return F.when(~_is_word(term), term).when(_ends_in_i(term), term.substr(F.lit(1), F.length(term) - 1)).otherwise(F.coalesce(by_rule, term))
 
 
 def lemmas(terms_: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ CONFIDENCE = {"high": 0, "medium": 1, "low": 2}
 def variants(queries: DataFrame, dictionary: dict[str, str], vocabulary: DataFrame) -> DataFrame:
     """Rows query_id, text, source, confidence, is_primary: the query (query_id, q) as typed, by dictionary, by layout and by fuzzy spelling.
 
-    Equal texts are one, of the best confidence, then the first source. The primary is the first of high confidence that isn't the original, else
-    the original. vocabulary: candidate, freq.
+    Queries that spelling leaves as they are get a fallback variant of low confidence, in which each unknown word is the nearest known one, if
+    one is near. Equal texts are one, of the best confidence, then the first source. The primary is the first of high confidence that isn't
+    the original, else the original. vocabulary: candidate, freq.
     """
     base = queries.select("query_id", T.normalize(F.col("q")).alias("n"))
     fixed = base.withColumn("text", S.dictionary(F.col("n"), dictionary)).where("text IS NOT NULL")
@@ -28,7 +31,12 @@ def variants(queries: DataFrame, dictionary: dict[str, str], vocabulary: DataFra
     parts = [base.select("query_id", F.col("n").alias("text"), F.lit("original").alias("source"), F.lit("high").alias("confidence"), F.lit(0).alias("order"))]
     for i, (source, df) in enumerate((("dictionary", fixed.withColumn("confidence", F.lit("high"))), ("layout", retyped.withColumn("confidence", F.lit("high"))), ("fuzzy", fuzzy)), 1):
         parts.append(df.select("query_id", "text", F.lit(source).alias("source"), "confidence", F.lit(i).alias("order")))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    left = words.join(fuzzy.select("query_id").distinct(), "query_id", "left_anti")
+    unknown = left.join(open_.select("query_id", "place"), ["query_id", "place"], "left_semi").select("token").distinct()
+    nearest = S.near_variants(S.ranked_candidates(unknown, vocabulary), 1).select("token", F.col("candidate").alias("corrected"))
+    tried = left.join(nearest, "token", "left").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("corrected", "token").alias("w")))), lambda x: x["w"]).alias("w"), F.count("corrected").alias("n"))
+    parts.append(tried.where("n > 0").select("query_id", F.array_join("w", " ").alias("text"), F.lit("fallback").alias("source"), F.lit("low").alias("confidence"), F.lit(4).alias("order")))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
     level = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
     one = every.groupBy("query_id", "text").agg(F.min_by(F.struct("source", "confidence", "order"), F.struct(level, "order")).alias("v")).select("query_id", "text", "v.*")
     wanted = F.when((F.col("confidence") == "high") & (F.col("source") != "original"), F.col("order")).otherwise(F.when(F.col("source") == "original", 100).otherwise(1000))

@@ -77,6 +77,46 @@ def all_terms_match(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return found.join(sizes, "query_id").where("got = wanted").join(lengths, "doc_id").select("query_id", "doc_id", F.round(F.col("tf") / F.col("len"), 6).alias("score"))
 
 
+def covers(places: list[list[int]]) -> list[tuple[int, int]]:
+    """The least stretches of words, from left to right, that hold a place of every term; none is part of another."""
+    every = sorted((p, t) for t, own in enumerate(places) for p in own)
+    seen, out = {}, []
+    for p, t in every:
+        seen[t] = p
+        if len(seen) == len(places):
+            first = min(seen.values())
+            if not out or first > out[-1][0]:
+                out.append((first, p))
+    return out
+
+
+def cover_density(terms: DataFrame, words: DataFrame, weight: float = 0.1) -> DataFrame:
+    """Rows query_id, doc_id, score for documents (doc_id, words) that hold every term of a query (query_id, token): the more the terms stand together, the more.
+
+    Each least stretch that holds all terms adds `weight`, divided by one more than the words in it that are not the query's. Only words of some
+    query leave their documents, with their places; a pair's places are those of one document.
+    """
+    asked = terms.distinct()
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    placed = words.select("doc_id", F.posexplode("words").alias("place", "token"))
+    found = placed.join(asked, "token").groupBy("query_id", "doc_id", "token").agg(F.collect_list("place").alias("places"))
+    whole = found.groupBy("query_id", "doc_id").agg(F.collect_list("places").alias("places"), F.count("*").alias("got")).join(sizes, "query_id").where("got = wanted")
+
+    @F.pandas_udf(DoubleType())
+    def density(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            out = []
+            for places in column:
+                held = {int(p) for own in places for p in own}
+                total = 0.0
+                for a, b in covers([[int(p) for p in own] for own in places]):
+                    total += weight / (1 + sum(p not in held for p in range(a, b + 1)))
+                out.append(round(total, 6))
+            yield pd.Series(out, dtype="float64")
+
+    return whole.select("query_id", "doc_id", density("places").alias("score"))
+
+
 def capped(count: Column, each: float, most: float) -> Column:
     return F.least(count * F.lit(each), F.lit(most))
 
@@ -112,12 +152,26 @@ def structured_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns(features)
 
 
-def gram_candidates(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Rows query_id, doc_id, similarity: Dice of trigram sets (query_id or doc_id, grams) of at least `least`, found by shared trigrams, not by pairing all."""
-    a = queries.select("query_id", F.size("grams").alias("n_a"), F.explode("grams").alias("gram"))
-    b = docs.select("doc_id", F.size("grams").alias("n_b"), F.explode("grams").alias("gram"))
-    both = a.join(b, "gram").groupBy("query_id", "doc_id").agg(F.count("*").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return both.select("query_id", "doc_id", F.round(2.0 * F.col("both") / (F.col("n_a") + F.col("n_b")), 6).alias("similarity")).where(F.col("similarity") >= least)
+def gram_candidates(queries: DataFrame, docs: DataFrame, least: float, share: str = "dice") -> DataFrame:
+    """Rows query_id, doc_id, similarity: Dice (or jaccard) of trigram sets (query_id or doc_id, grams) of at least `least`.
+
+    Sets so alike share a gram among the query's rarest: with n grams, all but n * j of them, j the Jaccard similarity that `least` comes to,
+    and one more. Only these are joined to the documents' grams, so the most common ones meet no one, and pairs found are compared whole.
+    """
+    jaccard = least if share == "jaccard" else least / (2 - least)
+    grams = docs.select("doc_id", F.explode("grams").alias("gram"))
+    asked = queries.select("query_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = grams.join(F.broadcast(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("query_id").orderBy("df", "gram")
+    rare = asked.join(counts, "gram").withColumn("place", F.row_number().over(order))
+    absent = asked.groupBy("query_id").agg(F.first("n").alias("n")).join(asked.join(counts, "gram").groupBy("query_id").agg(F.count("*").alias("there")), "query_id").select("query_id", (F.col("n") - F.col("there")).alias("missing"))
+    rare = rare.join(absent, "query_id").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * jaccard - 1e-9) + 1 - F.col("missing")).select("query_id", "gram")
+    pairs = grams.join(F.broadcast(rare), "gram").select("query_id", "doc_id").distinct()
+    both = pairs.join(queries.select("query_id", F.col("grams").alias("a")), "query_id").join(docs.select("doc_id", F.col("grams").alias("b")), "doc_id")
+    common = F.size(F.array_intersect("a", "b"))
+    total = F.size("a") + F.size("b")
+    alike = common / (total - common) if share == "jaccard" else 2.0 * common / total
+    return both.select("query_id", "doc_id", F.round(alike, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def alignment_distance(a: str, b: str) -> int:
@@ -149,20 +203,35 @@ def edit_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series(out, dtype="float64")
 
 
-def fuzzy(queries: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-    """Rows query_id, doc_id, trigram, edit, score: .58 trigram + .42 edit, over the best 6 * limit (at least 90) by trigrams.
+def fuzzy(queries: DataFrame, docs: DataFrame, limit: int, among: DataFrame | None = None) -> DataFrame:
+    """Rows query_id, doc_id, trigram, edit, score: .58 trigram + .42 edit, over the best 6 * limit (at least 90) by trigrams, of all documents or of the pairs `among` (query_id, doc_id).
 
-    Both have text (normalized) and variants (strings to compare by edits).
+    Both have text (normalized) and variants (strings to compare by edits); documents may have whole, all their text, whose similarity counts
+    where it is more than 1.18 times that of the text.
     """
     a, b = (x.withColumn("grams", T.grams(F.col("text"))) for x in (queries, docs))
-    found = gram_candidates(a, b, 0.13 / 1.18).withColumn("score", F.round(F.col("similarity") * 1.18, 6)).where("score >= 0.13")
-    short = top(found.select("query_id", "doc_id", "score"), max(6 * limit, 90)).withColumnRenamed("score", "trigram").drop("rank")
+    if among is None:
+        found = gram_candidates(a, b, 0.13 / 1.18).withColumn("score", F.round(F.col("similarity") * 1.18, 6))
+        if "whole" in docs.columns:
+            by_whole = gram_candidates(a, docs.withColumn("grams", T.grams(F.col("whole"))), 0.13).withColumn("score", F.col("similarity"))
+            found = found.unionByName(by_whole).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    else:
+        pairs = among.select("query_id", "doc_id").distinct().join(a.select("query_id", F.col("grams").alias("a")), "query_id").join(b.withColumn("whole", T.grams(F.col("whole"))) if "whole" in docs.columns else b.withColumn("whole", F.array().cast("array<string>")), "doc_id")
+        found = pairs.withColumn("score", F.round(F.greatest(1.18 * T.dice(F.col("a"), F.col("grams")), T.dice(F.col("a"), F.col("whole"))), 6))
+    short = top(found.where("score >= 0.13").select("query_id", "doc_id", "score"), max(6 * limit, 90)).withColumnRenamed("score", "trigram").drop("rank")
     pairs = short.join(queries.select("query_id", F.explode("variants").alias("asked")), "query_id").join(docs.select("doc_id", F.explode("variants").alias("there")), "doc_id")
     edits = pairs.withColumn("edit", edit_similarity("asked", "there")).groupBy("query_id", "doc_id", "trigram").agg(F.max("edit").alias("edit"))
     score = F.round(0.58 * F.col("trigram") + 0.42 * F.col("edit"), 6)
     return edits.withColumn("score", score).where("edit >= 0.52 OR score >= 0.24")
 
 
+def reasons(channel_scores: Column) -> Column:
+    """Reasons of a result by the channels that found it, and retrieval_rrf for several."""
+    named = F.transform(F.map_keys(channel_scores), lambda c: T.mapped(c, V.CHANNEL_REASONS))
+    several = F.when(F.size(named) >= 2, F.array(F.lit("retrieval_rrf"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(named, several)
+
+
 def fuse(hits: DataFrame, weights: dict[str, float] | None = None, k: int = V.RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked hits (query_id, doc_id, channel, score, rank): fused score, channels, best channel score, scores by channel."""
     weights = weights or V.CHANNEL_WEIGHTS
@@ -173,7 +242,13 @@ def fuse(hits: DataFrame, weights: dict[str, float] | None = None, k: int = V.RR
     return hits.groupBy("query_id", "doc_id").agg(F.round(fused, 4).alias("score"), F.count("*").alias("n_channels"), F.max("score").alias("best"), channels.alias("channel_scores"))
 
 
+def best_first_order() -> list[Column]:
+    """The order of fused results where a channel's best score counts before their number, and newer documents (larger ids) come first."""
+    return [F.desc("score"), F.desc("best"), F.desc("doc_id")]
+
+
 def fused_order() -> list[Column]:
+    """The order of fused results where the number of channels counts before the best score."""
     return [F.desc("score"), F.desc("n_channels"), F.desc("best"), F.col("doc_id")]
 
 

@@ -61,19 +61,20 @@ def label(score: Column) -> Column:
     return F.when(score >= 0.82, "high").when(score >= 0.64, "medium").otherwise("low")
 
 
-def corrections(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Rows token, corrected, score, confidence: the best candidate, unless another is as good and the best isn't far more frequent.
-
-    Candidates share two leading letters; tokens for which the vocabulary has none that fits in length are tried with one.
-    """
+def ranked_candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Candidates of each token: those that share two leading letters, or one for tokens for which the vocabulary has none that fits in length; delta is the difference of lengths."""
     two = blocked_candidates(tokens, vocabulary, 2)
     sized = tokens.withColumn("sig", T.signature(F.col("token"))).withColumn("most", T.most_edits(F.col("sig"))).withColumn("block", F.substring("sig", 1, 2))
     pool = vocabulary.select(F.substring(T.signature(F.col("candidate")), 1, 2).alias("block"), F.length(T.signature(F.col("candidate"))).alias("len")).distinct()
     has_two = sized.join(pool, "block").where(F.col("len").between(F.greatest(F.lit(3), F.length("sig") - F.col("most")), F.length("sig") + F.col("most"))).select("token").distinct()
     one = blocked_candidates(tokens.join(has_two, "token", "left_anti"), vocabulary, 1)
-    delta = F.abs(F.length("candidate") - F.length("token"))
+    return two.unionByName(one).withColumn("delta", F.abs(F.length("candidate") - F.length("token")))
+
+
+def corrections(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows token, corrected, score, confidence: the best candidate, unless another is as good and the best isn't far more frequent."""
     order = Window.partitionBy("token").orderBy("distance", F.desc("shared"), "delta", F.desc("freq"), "candidate")
-    ranked = two.unionByName(one).withColumn("delta", delta).withColumn("place", F.row_number().over(order))
+    ranked = ranked_candidates(tokens, vocabulary).withColumn("place", F.row_number().over(order))
     for c in ("distance", "shared", "delta", "freq"):
         ranked = ranked.withColumn(f"next_{c}", F.lead(c).over(order))
     best = ranked.where("place = 1")

@@ -37,6 +37,28 @@ PURCHASES = """purchases AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
+#: Russian forms (one, several) of the words of the parts' names.
+RUSSIAN = {
+    "small": ("маленький", "маленькие"), "large": ("большой", "большие"), "red": ("красный", "красные"), "blue": ("синий", "синие"), "hot": ("горячий", "горячие"), "cold": ("холодный", "холодные"), "old": ("старый", "старые"), "new": ("новый", "новые"),
+    "ring": ("обруч", "обручи"), "bolt": ("болт", "болты"), "gear": ("редуктор", "редукторы"), "rod": ("стержень", "стержни"), "plate": ("лист", "листы"), "widget": ("виджет", "виджеты"), "gizmo": ("прибор", "приборы"), "anvil": ("молот", "молоты"),
+}
+
+
+def russian_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows item_id, title: the parts with their names in Russian, odd ones in the plural, every third with a number of pieces, every third with a length."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_size")
+    forms = F.create_map(*[x for word, both in RUSSIAN.items() for x in (F.lit(word), F.array(*[F.lit(f) for f in both]))])
+    words = F.transform(F.split("p_name", " "), lambda w: F.coalesce(F.get(F.try_element_at(forms, w), (F.col("item_id") % 2).cast("int")), w))
+    size = F.col("p_size").cast("string")
+    more = F.when(F.col("item_id") % 3 == 0, F.concat(size, F.lit(" шт"))).when(F.col("item_id") % 3 == 1, F.concat(size, F.lit("мм")))
+    return parts.select("item_id", F.concat_ws(" ", F.array_join(words, " "), more).alias("title"))
+
+
+RUSSIAN_SQL = """russian AS (
+  SELECT p_partkey AS item_id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: coalesce((MAP {""" + ", ".join(f"'{w}': ['{a}', '{b}']" for w, (a, b) in RUSSIAN.items()) + """})[w][p_partkey % 2 + 1], w)), ' ')
+         || CASE p_partkey % 3 WHEN 0 THEN ' ' || p_size || ' шт' WHEN 1 THEN ' ' || p_size || 'мм' ELSE '' END AS title FROM part)"""
+
+
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events, with the item that their properties name."""
     return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("item_id"))

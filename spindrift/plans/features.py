@@ -11,6 +11,7 @@ from spindrift.operators import ranking as R
 from spindrift.operators import retrieval as S
 from spindrift.plans import behaviour as A
 from spindrift.plans import bindings as B
+from spindrift.plans import learning as L
 from spindrift.plans import search as Q
 from spindrift.plans.registry import query
 
@@ -122,3 +123,32 @@ def feature_means(spark, sf):
     """Means of the query's, the item's and the user's features by label."""
     frame = X.training_features(ranker_rows(spark, sf))
     return frame.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in X.OWN])
+
+
+@query(W(A.RELEVANCE, Q.ASKED_SQL, Q.bm25_sql(Q.PART_INDEX, V.FIELD_WEIGHTS, Q.ASKED_TERMS)) + """, allowed AS (SELECT DISTINCT session_id, item_id, query FROM relevance)
+SELECT session_id, item_id, score, (row_number() OVER (PARTITION BY session_id ORDER BY score DESC, item_id))::INTEGER AS rank FROM allowed JOIN asked ON q = allowed.query JOIN scored ON scored.query_id = asked.query_id AND doc_id = item_id""")
+def session_retrieval(spark, sf):
+    """Retrieval over what each session has been shown: scores of its query, with statistics of the whole index, ranked within the session."""
+    allowed = A.relevance(spark, sf).select("session_id", "item_id", "query").distinct()
+    hits = Q.part_bm25(spark, sf).join(F.broadcast(Q.asked(spark)), "query_id").select(F.col("q").alias("query"), F.col("doc_id").alias("item_id"), "score")
+    found = allowed.join(hits, ["query", "item_id"])
+    return found.withColumn("rank", F.row_number().over(S.Window.partitionBy("session_id").orderBy(F.desc("score"), "item_id"))).select("session_id", "item_id", "score", "rank")
+
+
+SERVED = {
+    "position_num": "rank", "query_len": "len(string_split(query, ' '))", "baseline_score": "score", "retrieval_score": "retrieval", "query_term_count": "len(terms)",
+    "title_exact_match": "title = query", "title_prefix_match": "starts_with(title, query)", "title_partial_match": "contains(title, query)", "description_contains_query": "contains(description, query)",
+    "cat_match_user": "in_categories", "supplier_match_user": "in_suppliers", "is_recent_ste": "in_recent", "query_has_digits": "0", "is_popular_ste_org": "0", "attribute_overlap_count": "n_attributes", "brand_match_flag": "brand_match", "category_match_flag": "category_match",
+    "title_len_chars": "length(title)", "description_len_chars": "length(description)", "reason_token_match": "n_terms > 0", "reason_matches_purchase_history": "in_categories", "reason_popular_in_organization": "in_popular",
+}
+
+
+@query(W(L.RANKED) + f", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM base) SELECT query_id, doc_id, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in SERVED.items())} FROM r")
+def serving_features(spark, sf):
+    scored = R.rule_score(L.candidates(spark, sf), fuzzy=False).withColumn("position", F.row_number().over(S.Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    named = {
+        "normalized_query": F.col("query"), "item_id": F.col("doc_id"), "item_title": F.col("title"), "item_description": F.col("description"), "item_category_name": F.col("category"), "item_supplier_name": F.col("supplier"),
+        "user_top_categories": F.col("top_categories"), "user_top_suppliers": F.coalesce("top_suppliers", F.array().cast("array<string>")), "user_recent_items": F.transform("recent_items", lambda x: x.cast("string")),
+        "retrieval_score": F.col("retrieval"), "attribute_overlap_count": F.col("attribute_overlap"), "brand_match_flag": F.col("brand_match").cast("int"), "category_match_flag": F.col("category_match").cast("int"), "numeric_constraint_match_flag": F.col("numeric_match").cast("int"),
+    }
+    return X.serving_features(scored.withColumns(named)).select("query_id", "doc_id", *SERVED)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.functions import vocabulary as V
 from spindrift.operators import retrieval as R
 from spindrift.operators import spelling as S
+from spindrift.operators.behaviour import best_of_variants
 from spindrift.plans import bindings as B
 from spindrift.plans.registry import query
-from spindrift.session import table
+from spindrift.session import settled, table
 from spindrift.sources.portal import indexed
 
 W = B.with_sql
@@ -35,7 +38,7 @@ def terms_sql(x: str) -> str:
 
 
 #: Text queries over the parts: a fixed set.
-ASKED = [(1, "red bolt"), (2, "blue gear"), (3, "steel"), (4, "brand 17 large"), (5, "small bolt green"), (6, "gear")]
+ASKED = [(1, "red bolt"), (2, "blue gear"), (3, "steel"), (4, "brand 17 large"), (5, "small bolt green"), (6, "gear"), (7, "gizmoo bollt")]
 ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") t(query_id, q))"
 
 
@@ -173,20 +176,30 @@ def sig_sql(x: str) -> str:
     return f"translate({x}, '{V.SIGNATURE_FROM}', '{V.SIGNATURE_TO}')"
 
 
-def vocabulary_sql(wrong: str, good: str) -> str:
-    """Words to correct and words to correct to, with their signatures, and pairs that begin with the same one or two letters."""
+def edits_sql(a: str, b: str) -> str:
+    """The edit distance of words; the engine's counts bytes, so Cyrillic letters become single ones that words don't have."""
+    cyrillic = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    single = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&("
+    return f"levenshtein(translate({a}, '{cyrillic}', '{single}'), translate({b}, '{cyrillic}', '{single}'))"
+
+
+def pairs_sql(wrong: str, good: str, both: bool) -> str:
+    """Words to correct (token) and words to correct to (token, freq), with their signatures, and near pairs that begin with the same two letters, or with `both` one letter where there are no others."""
     edits = "CASE WHEN length(sig) <= 4 THEN 1 WHEN length(sig) <= 8 THEN 2 ELSE 3 END"
     pair = lambda n, of: f"SELECT w.token, g.token AS candidate, g.freq, w.sig, g.sig AS other, most FROM {of} w JOIN good g ON w.sig[:{n}] = g.sig[:{n}] AND abs(length(w.token) - length(g.token)) <= most AND length(g.sig) >= 3 AND w.token <> g.token"
-    return f"""{DOC_WORDS}, vocab AS (SELECT token, {sig_sql("token")} AS sig, count(DISTINCT doc_id) AS freq FROM words WHERE regexp_matches(token, '^[a-zа-я]+$') GROUP BY 1),
-wrong AS (SELECT *, {edits} AS most FROM vocab WHERE {wrong}), good AS (SELECT * FROM vocab WHERE {good}),
+    return f"""wrong AS (SELECT *, {edits} AS most FROM (SELECT token, {sig_sql("token")} AS sig FROM ({wrong}))), good AS (SELECT *, {sig_sql("token")} AS sig FROM ({good})),
 sized AS (SELECT DISTINCT w.token FROM wrong w JOIN (SELECT DISTINCT sig[:2] AS block, length(sig) AS n FROM good) g ON w.sig[:2] = block AND n BETWEEN greatest(3, length(w.sig) - most) AND length(w.sig) + most),
 rest AS (SELECT * FROM wrong WHERE token NOT IN (SELECT token FROM sized)),
 two AS ({pair(2, "wrong")}), one AS ({pair(1, "rest")}),
-measured AS (SELECT *, least(levenshtein(sig, other), levenshtein(token, candidate))::INTEGER AS distance FROM {{pairs}}),
+measured AS (SELECT *, least({edits_sql("sig", "other")}, {edits_sql("token", "candidate")})::INTEGER AS distance FROM {"(SELECT * FROM two UNION ALL SELECT * FROM one)" if both else "two"}),
 near AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(sig), length(other)) + 1), lambda i: sig[:i] = other[:i])), 0) AS shared FROM measured WHERE distance <= most)"""
 
 
-@query(W(vocabulary_sql("freq = 1 AND length(token) >= 4", "freq >= 5 AND length(token) >= 3").replace("{pairs}", "two")) + "SELECT token, candidate, distance, freq FROM near WHERE shared > 0 OR distance <= 1")
+RARE = DOC_WORDS + ", vocab AS (SELECT token, count(DISTINCT doc_id) AS freq FROM words WHERE regexp_matches(token, '^[a-zа-я]+$') GROUP BY 1)"
+RARE_PAIRS = ("SELECT token FROM vocab WHERE freq = 1 AND length(token) >= 4", "SELECT token, freq FROM vocab WHERE freq >= 5 AND length(token) >= 3")
+
+
+@query(W(RARE, pairs_sql(*RARE_PAIRS, both=False)) + "SELECT token, candidate, distance, freq FROM near WHERE shared > 0 OR distance <= 1")
 def spell_candidates(spark, sf):
     vocab = doc_words(spark, sf).where("token RLIKE '^[a-zа-я]+$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
     return S.blocked_candidates(vocab.where("freq = 1 AND length(token) >= 4").select("token"), vocab.where("freq >= 5 AND length(token) >= 3").select(F.col("token").alias("candidate"), "freq"), prefix=2).select("token", "candidate", "distance", "freq")
@@ -202,12 +215,28 @@ sc AS (SELECT token, candidate AS corrected, round(greatest(0::DOUBLE, least(0.9
   + CASE WHEN freq >= 5 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN d2 IS NOT NULL AND freq >= 2 * greatest(f2, 1) THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN d2 IS NULL THEN 0.05::DOUBLE ELSE 0 END)), 4) AS score FROM best)"""
 
 
-@query(W(vocabulary_sql("freq = 1 AND length(token) >= 4", "freq >= 5 AND length(token) >= 3").replace("{pairs}", "(SELECT * FROM two UNION ALL SELECT * FROM one)"), CORRECTED) + "SELECT token, corrected, score, CASE WHEN score >= 0.82 THEN 'high' WHEN score >= 0.64 THEN 'medium' ELSE 'low' END AS confidence FROM sc")
+@query(W(RARE, pairs_sql(*RARE_PAIRS, both=True), CORRECTED) + "SELECT token, corrected, score, CASE WHEN score >= 0.82 THEN 'high' WHEN score >= 0.64 THEN 'medium' ELSE 'low' END AS confidence FROM sc")
 def spell_corrections(spark, sf):
     vocab = doc_words(spark, sf).where("token RLIKE '^[a-zа-я]+$'").groupBy("token").agg(F.count_distinct("doc_id").alias("freq"))
     return S.corrections(vocab.where("freq = 1 AND length(token) >= 4").select("token"), vocab.where("freq >= 5 AND length(token) >= 3").select(F.col("token").alias("candidate"), "freq"))
 
 
+def word_grams_sql(x: str) -> str:
+    return f"list_distinct(flatten(list_transform(regexp_extract_all(lower({x}), '[0-9a-zа-яё]+'), lambda w: [substring('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)])))"
+
+
+@query(W(ASKED_SQL, f"n AS (SELECT p_partkey AS doc_id, p_name AS title, {word_grams_sql('p_name')} AS b FROM part), a AS (SELECT query_id, {word_grams_sql('q')} AS a FROM asked WHERE length(q) >= 3)") + f"""
+, s AS (SELECT query_id, doc_id, title, len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) AS similarity FROM a, n),
+t AS (SELECT query_id, doc_id, round(round(similarity, 6) * {V.TRIGRAM_WEIGHT}::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(round(similarity, 6) * {V.TRIGRAM_WEIGHT}::DOUBLE, 6) DESC, doc_id) AS rank FROM s WHERE round(similarity, 6) >= {V.TRIGRAM_MATCH}::DOUBLE QUALIFY rank <= {V.expanded_limit(20)})
+SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM t WHERE score >= {V.TRIGRAM_LEAST}::DOUBLE""")
+def trigram_match(spark, sf):
+    """Titles like a query by trigrams of words; what is too little like it goes after the limit."""
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), T.word_grams(F.col("p_name")).alias("grams"))
+    wanted = asked(spark).where("length(q) >= 3").select("query_id", T.word_grams(F.col("q")).alias("grams"))
+    found = R.gram_candidates(wanted, names, V.TRIGRAM_MATCH, share="jaccard").select("query_id", "doc_id", F.round(F.col("similarity") * V.TRIGRAM_WEIGHT, 6).alias("score"))
+    return R.top(found, V.expanded_limit(20)).where(F.col("score") >= V.TRIGRAM_LEAST)
+
+
 def structured_pairs(spark, sf, k=300):
     """Pairs of the asked queries and their k best parts by BM25, with both analyses and bm25, the score."""
     docs = part_docs(spark, sf).withColumns({"title_lemmas": T.lemmas(F.col("title_terms")), "category_lemmas": T.lemmas(F.col("category_terms"))}).withColumnRenamed("attributes_terms", "attribute_terms")
@@ -248,18 +277,73 @@ def rrf(spark, sf):
     return fused.where("rank <= 20").select("query_id", "doc_id", "score", "n_channels", "rank")
 
 
+@query(W(FUSION) + "SELECT query_id, doc_id, score, best, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best DESC, doc_id DESC))::INTEGER AS rank FROM fused QUALIFY rank <= 20")
+def rrf_best_first(spark, sf):
+    fused = R.fuse(_channels(spark, sf)).withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(*R.best_first_order())))
+    return fused.where("rank <= 20").select("query_id", "doc_id", "score", "best", "rank")
+
+
+VARIANTS = f"SELECT query_id * 100 + variant AS query_id, unnest(w) AS token FROM (SELECT query_id, variant, CASE WHEN variant = 0 THEN t ELSE [t[variant]] END AS w FROM (SELECT query_id, list_distinct({terms_sql(norm_sql('q'))}) AS t, unnest(range(0, 4)) AS variant FROM asked) WHERE variant <= len(t))"
+
+
+@query(W(ASKED_SQL, bm25_sql(PART_INDEX, V.FIELD_WEIGHTS, VARIANTS)) + """, b AS (SELECT query_id // 100 AS query_id, doc_id, query_id % 100 AS variant, score FROM scored),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, variant) = 1)
+SELECT query_id::INTEGER AS query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM o QUALIFY rank <= 20""")
+def best_variants(spark, sf):
+    """Each query as a whole and by each of its first three words; of a part the best of these counts."""
+    words = asked(spark).select("query_id", T.terms(T.normalize(F.col("q"))).alias("t"))
+    each = words.select("query_id", "t", F.explode(F.sequence(F.lit(0), F.least(F.size("t"), F.lit(3)))).alias("variant"))
+    terms = each.select((F.col("query_id") * 100 + F.col("variant")).alias("query_id"), F.explode(F.when(F.col("variant") == 0, F.col("t")).otherwise(F.slice("t", F.greatest("variant", F.lit(1)), 1))).alias("token"))
+    index = R.postings(part_docs(spark, sf), {f: f"{f}_terms" for f in FIELDS})
+    hits = R.bm25(F.broadcast(terms), index, V.FIELD_WEIGHTS).select(F.floor(F.col("query_id") / 100).cast("int").alias("query_id"), "doc_id", (F.col("query_id") % 100).alias("variant"), "score")
+    return best_of_variants(hits, ["query_id"], 20).select("query_id", "doc_id", "score", "rank")
+
+
+@query()
+def cover_density(spark, sf):
+    """How near each other all terms of a benchmark text stand in the documents that hold them all."""
+    docs = table(spark, sf, "documents").select("doc_id", T.terms(T.normalize(F.col("text")), distinct=False).alias("words"))
+    return R.cover_density(passages(spark, sf), docs)
+
+
+def cheap_hits(spark, sf, limit):
+    """Ranked hits of the lexical, the lemma and the synonym channel over all parts."""
+    docs = settled(part_docs(spark, sf).withColumns({f"{f}_lemmas": F.transform(f"{f}_terms", T.lemma) for f in FIELDS}))
+    words = asked(spark).select("query_id", T.terms(T.normalize(F.col("q"))).alias("w"))
+    lemmas = words.select("query_id", F.explode(T.lemmas(F.col("w"))).alias("token"))
+    synonyms = words.join(F.broadcast(spark.createDataFrame(SYNONYMS, "term string, synonym string")), F.array_contains("w", F.col("term")) & ~F.array_contains("w", F.col("synonym"))).select("query_id", F.col("synonym").alias("token"))
+    plain, by_lemma = R.postings(docs, {f: f"{f}_terms" for f in FIELDS}), R.postings(docs, {f: f"{f}_lemmas" for f in FIELDS})
+    channels = {"bm25": (words.select("query_id", F.explode("w").alias("token")), plain, V.FIELD_WEIGHTS), "morphology": (lemmas, by_lemma, V.LEMMA_WEIGHTS), "synonym_bm25": (synonyms, plain, V.FIELD_WEIGHTS)}
+    parts = [R.top(R.bm25(F.broadcast(terms), index, weights), limit).withColumn("channel", F.lit(name)) for name, (terms, index, weights) in channels.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+#: Known synonyms: a fixed set.
+SYNONYMS = [("red", "blue"), ("bolt", "gear"), ("steel", "small")]
+
+
 @query()
-def two_phase_search(spark, sf):
-    """Cheap channels choose parts, structured and fuzzy ones score these, all ranks are fused."""
-    cheap = R.top(part_bm25(spark, sf), 300)
-    scored = structured_pairs(spark, sf)
-    parts = [cheap.withColumn("channel", F.lit("bm25"))]
+def two_phase_search(spark, sf, limit=20):
+    """Cheap channels choose parts by their fused ranks, structured and fuzzy ones score these, all ranks are fused. A query without a hit is tried by spelling over all parts."""
+    pool, most = V.pool_size(limit), V.expanded_limit(limit)
+    cheap = settled(cheap_hits(spark, sf, pool))  # what later steps use again is settled, so that no plan holds another many times
+    short = settled(R.top(R.fuse(cheap).select("query_id", "doc_id", "score"), pool).select("query_id", "doc_id"))
+    docs = settled(part_docs(spark, sf))
+    analysed = docs.withColumns({"title_lemmas": T.lemmas(F.col("title_terms")), "category_lemmas": T.lemmas(F.col("category_terms"))}).withColumnRenamed("attributes_terms", "attribute_terms")
+    analysed = T.with_analysis(analysed, F.concat_ws(" ", "title", "attributes", "category", "description"), "d")
+    wanted = T.with_analysis(asked(spark), F.col("q"), "q")
+    scored = settled(R.structured_scores(short.join(F.broadcast(wanted), "query_id").join(analysed.join(short.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")).select("query_id", "doc_id", "exact_score", "attribute_score"))
+    parts = [cheap]
     for name, column in (("exact_structured", "exact_score"), ("attribute", "attribute_score")):
-        parts.append(R.top(scored.where(F.col(column).isNotNull()).select("query_id", "doc_id", F.col(column).alias("score")), 60).withColumn("channel", F.lit(name)))
-    parts.append(fuzzy_parts(spark, sf).select("query_id", "doc_id", "score", "rank").join(cheap.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").withColumn("channel", F.lit("fuzzy")))
-    fused = R.fuse(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
-    ranked = fused.withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(*R.fused_order()))).where("rank <= 20")
-    return ranked.join(B.items(spark, sf).select(F.col("item_id").alias("doc_id"), "title", "category"), "doc_id").select("query_id", "rank", "doc_id", "title", "category", "score", "n_channels")
+        parts.append(R.top(scored.where(F.col(column).isNotNull()).select("query_id", "doc_id", F.col(column).alias("score")), most).withColumn("channel", F.lit(name)))
+    typed = asked(spark).select("query_id", T.normalize(F.col("q")).alias("text")).withColumn("variants", F.array("text"))
+    there = docs.select("doc_id", F.col("title").alias("text"), F.concat_ws(" ", "title", "attributes", "category", "description").alias("whole"), F.array_distinct(F.concat(F.array("title"), "title_terms")).alias("variants"))
+    without = typed.join(short, "query_id", "left_anti")
+    fuzzy = R.fuzzy(typed, there, most, among=short).unionByName(R.fuzzy(without, there, most))
+    parts.append(R.top(fuzzy.select("query_id", "doc_id", "score"), most).withColumn("channel", F.lit("fuzzy")))
+    fused = R.fuse(reduce(lambda a, b: a.unionByName(b), parts)).withColumn("reasons", R.reasons(F.col("channel_scores")))
+    ranked = fused.withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(*R.fused_order()))).where(F.col("rank") <= limit)
+    return ranked.join(B.items(spark, sf).select(F.col("item_id").alias("doc_id"), "title", "category"), "doc_id").select("query_id", "rank", "doc_id", "title", "category", "score", "n_channels", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(W(DOC_WORDS, PASSAGES) + ", terms AS (SELECT query_id, unnest(w) AS token FROM asked), f AS (SELECT query_id, doc_id, count(*) AS got FROM terms JOIN (SELECT DISTINCT doc_id, token FROM words) USING (token) GROUP BY 1, 2), m AS (SELECT query_id, count(*) AS n FROM f JOIN (SELECT query_id, count(*) AS wanted FROM terms GROUP BY 1) USING (query_id) WHERE got = wanted GROUP BY 1) SELECT query_id, coalesce(n, 0) AS n FROM asked LEFT JOIN m USING (query_id) WHERE coalesce(n, 0) < 20")

@@ -71,6 +71,27 @@ def dwell(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return keyed.applyInPandasWithState(step, "user_id long, item_id long, started_at timestamp, dwell_ms long", "open_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def refined(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Rows event_id, user_id, query, next_query, refined: each query of a user when the next comes, and whether that differs. State is the user's last query, dropped when the watermark passes."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        last, out = (tuple(state.get) if state.exists else None), []
+        for number, query in zip(rows["event_id"], rows["query"], strict=True):
+            if last is not None:
+                out.append((last[0], key[0], last[1], query, last[1] != query))
+            last = int(number), query
+        state.update(last)
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000) + 400 * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "query", "next_query", "refined"])
+
+    keyed = stream.where("query IS NOT NULL").withWatermark("ts", late).groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "event_id long, user_id long, query string, next_query string, refined boolean", "event_id long, query string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that the stream has now, written to Parquet below the shared folder `checkpoint`, as a table.
 
