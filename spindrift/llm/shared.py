@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import os
 import shutil
@@ -95,6 +96,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return found
 
 
+def delete(spark: SparkSession, uri: str) -> None:
+    """Delete a folder in any file system that Spark opens; nothing if it, or the session, is gone."""
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def publish(path: str, data: bytes) -> None:
     """Write a file in one step: a retried or speculative task replaces it by equal bytes, a reader never sees a part."""
     part = f"{path}.{uuid.uuid4().hex}"

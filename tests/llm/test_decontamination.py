@@ -1,10 +1,18 @@
 import itertools
+import zlib
 
+import duckdb
+import numpy as np
 import pytest
+from test_quality import brute_removal
+from test_simhash import roots
+from test_tokens_and_packing import naive_places
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spindrift.llm.decontaminate import common, fit, leaks, op1_latent_decontamination, words
-from spindrift.llm.packing import token_pieces
+from spindrift.llm.packing import packing_order
+from spindrift.llm.quality_rules import OP2_SQL
 from spindrift.llm.shared import documents, tokenizer_path
 
 
@@ -23,22 +31,26 @@ def test_common_subsequences():
         assert common(a.encode().split(), b.encode().split()) == slow_common(a.split(), b.split())
 
 
-@pytest.fixture(scope="module")
-def whole(spark, sf):
-    """Leaks by brute force: a window of each text, at each word, as long as the item and a third more."""
-    sf = sf.replace("sf0.001", "sf0.01")
-    items = {r["item_id"]: words(r["text"]) for r in documents(spark, sf, "benchmark").collect()}
+def brute_leaks(texts, items):
+    """Pairs (text, item) by all windows of each text, as long as the item and a third more."""
     found = set()
-    for r in documents(spark, sf).collect():
-        text = words(r["text"] or "")
-        places = {w: i for i, w in reversed(list(enumerate(text)))}
+    for d, t in texts.items():
+        text = words(t or "")
+        places = set(text)
         for j, item in items.items():
             if sum(w in places for w in item) < 0.75 * len(item):
                 continue
             size = len(item) * 4 // 3
             if any(common(item, text[i : i + size]) >= 0.75 * len(item) for i in range(0, max(1, len(text) - len(item) + 1), 4)):
-                found.add((r["doc_id"], j))
-    return sf, found
+                found.add((d, j))
+    return found
+
+
+@pytest.fixture(scope="module")
+def whole(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    items = {r["item_id"]: words(r["text"]) for r in documents(spark, sf, "benchmark").collect()}
+    return sf, brute_leaks({r["doc_id"]: r["text"] for r in documents(spark, sf).collect()}, items)
 
 
 def test_recall_against_brute_force(spark, whole):
@@ -69,24 +81,50 @@ def test_awkward_rows(awkward, nothing, spark):
     assert leaks(nothing, bench).collect() == [] and leaks(awkward, bench.limit(0)).collect() == []
 
 
-def test_pipeline(spark, sf, tmp_path):
-    docs, kept = documents(spark, sf), {}
+def test_pipeline_equals_brute_force(spark, sf, tmp_path):
+    """Each stage's rows against a plain version of it, on what the stage before has kept."""
+    docs = documents(spark, sf)
+    was = {r["doc_id"]: r["text"] for r in docs.collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    good = {d for (d,) in con.sql(f"SELECT doc_id FROM ({OP2_SQL}) WHERE kept").fetchall()}
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / str(number)))
-        docs, before = spark.read.parquet(str(tmp_path / str(number))), docs
-        kept[name] = docs.count()
-        assert docs.join(before, "doc_id", "left_anti").isEmpty() and kept[name] <= before.count()
-    assert kept["quality rules"] < documents(spark, sf).count() and kept["benchmark decontamination"] > 0
+        docs = spark.read.parquet(str(tmp_path / str(number)))
+        got = {r["doc_id"]: r["text"] for r in docs.collect()}
+        if number == 0:
+            assert got == {d: t for d, t in was.items() if d in good} and len(got) < len(was)
+        elif number == 1:
+            left = brute_removal(was)
+            assert got == {d: t for d, t in left.items() if t == was[d] or t.encode().split()} and got != was
+            assert all(r["n_chars"] == len(r["text"]) for r in docs.collect() if r["text"] != was[r["doc_id"]])
+        elif number == 2:
+            sets = {}
+            for d, t in was.items():
+                w = t.encode().lower().split()
+                sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            groups = roots(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+            assert got == {d: was[d] for d in set(groups.values())}
+        else:
+            leaking = {d for d, _ in brute_leaks(was, {r["item_id"]: words(r["text"]) for r in documents(spark, sf, "benchmark").collect()})}
+            assert len(leaking - set(got)) >= 0.9 * len(leaking) and len(set(was) - set(got) - leaking) <= 0.01 * len(was) + 1
+            assert all(was[d] == t for d, t in got.items())
+        was = got
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert last.agg({"length": "sum"}).first()[0] == token_pieces(docs, tokenizer_path("word_bpe_49k.json")).agg({"length": "sum"}).first()[0]
+    library, want = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), {}
+    for d, t in was.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        want |= {(d, i // 4096): ids[i : i + 4096] for i in range(0, len(ids), 4096)}
+    ordered = last.orderBy(*packing_order(last)).collect()
+    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in ordered} == {k: zlib.crc32(np.array(v, "<u4").tobytes()) for k, v in want.items()}
+    assert [(r["sequence_id"] & (1 << 40) - 1, r["offset"]) for r in ordered] == naive_places([len(want[r["doc_id"], r["piece"]]) for r in ordered], 4096, 256)
     run = corpus_pipeline.run(spark, sf)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    assert sorted(map(tuple, run.select(*columns).collect())) == sorted(map(tuple, last.select(*columns).collect()))
+    assert sorted(map(str, run.collect())) == sorted(map(str, last.select(*run.columns).collect()))
 
 
 def test_stages_take_awkward_rows(awkward, nothing, spark, sf):
-    for docs in (awkward.drop("removed"), nothing.drop("removed")):
+    for docs in (awkward, nothing, awkward.drop("removed")):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, sf).count() <= docs.count() + 200
