@@ -10,8 +10,8 @@ shared folder, mapped into memory by the workers that read it. A shard of level
 
 A word of a context is found by the successor of (value before the context) + 1 + id, in the context's own stretch.
 
-Smoothing is interpolation with a Dirichlet prior: P(w|u) = (c(u,w) + m P(w|u')) / (c(u) + m), u' one word shorter; words without
-context have (c + 0.1) / (N + 0.1 (V + 1)). Words are known by 64-bit hashes; two of a billion words share one with a chance of 3 %, which
+Smoothing is interpolation: P(w|u) = (c(u,w) + m P(w|u')) / (c(u) + m), u' one word shorter, where the weight of the shorter context grows
+with the context's count as the number of different words after it does: m = prior + growth c(u)^power. Words without context have (c + 0.1) / (N + 0.1 (V + 1)). Words are known by 64-bit hashes; two of a billion words share one with a chance of 3 %, which
 would only add their counts.
 
 Counting: each task makes keys (context place, word id) of its texts, adds up equal ones, and sends each shard its sorted keys as
@@ -92,13 +92,30 @@ class Level:
     contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
+@dataclass(frozen=True)
+class Prior:
+    """What a shorter context weighs against a context's count."""
+
+    least: float = 50.0
+    growth: float = 2.0
+    power: float = 0.9
+
+    def weight(self, counts: np.ndarray) -> np.ndarray:
+        return self.least + self.growth * np.asarray(counts, float) ** self.power
+
+    def left(self, counts: np.ndarray) -> np.ndarray:
+        """log10 of the share that goes to the shorter context."""
+        m = self.weight(counts)
+        return np.log10(m / (counts + m))
+
+
 @dataclass
 class Trie:
     """A model in a shared folder. Small: a few numbers for each shard."""
 
     folder: str
     order: int
-    prior: float
+    prior: Prior
     total: int
     distinct: int
     levels: list[Level]
@@ -176,8 +193,7 @@ class Reader:
             last[at] = (sequence.values(local) - base)[back].astype(np.int64)
         keys, back = np.unique((last.astype(U) << U(self.trie.word_bits)) | words, return_inverse=True)
         place, logp, _ = (x[back] for x in self.grams(2, keys))
-        prior = self.trie.prior
-        less = np.log10(prior / (word_counts(self, last) + prior)) + self.base(word_counts(self, words.astype(np.int64)))
+        less = self.trie.prior.left(word_counts(self, last)) + self.base(word_counts(self, words.astype(np.int64)))
         return np.where(place >= 0, logp, less)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
@@ -196,8 +212,8 @@ class Reader:
         context[first] = end_id  # a text starts after an end
         context_counts = np.r_[0, counts[:-1]]
         context_counts[first] = end_count
-        prior, bits = self.trie.prior, U(self.trie.word_bits)
-        left = np.log10(prior / (context_counts + prior))
+        bits = U(self.trie.word_bits)
+        left = self.trie.prior.left(context_counts)
         out = {"ids": ids, "counts": counts, "base": base, "logp": base, "context": context, "context_counts": context_counts, "first": first}
         level = 2
         while level <= min(upto, self.trie.order) and level <= len(self.trie.levels):
@@ -263,7 +279,7 @@ def count_level(train: DataFrame, keys_of, bounds: np.ndarray, write) -> list:
     return sorted(sent.repartition(len(bounds), "shard").groupBy("shard").applyInArrow(reduce, "shard int, n long, total long").collect())
 
 
-def build(docs: DataFrame, order: int = 3, prior: float = 200.0, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, shards: int | None = None) -> Trie:
+def build(docs: DataFrame, order: int = 3, prior: Prior = Prior(), id_col: str = "doc_id", text_col: str = "text", folds: int = 10, shards: int | None = None) -> Trie:
     """Train on the whole texts of all rows whose fold isn't 0. Null texts are empty: a text of one end.
 
     `order` is 1, 2 or 3 and takes as many passes over the texts. Each level has as many shards as the scan has partitions, so a shard's size doesn't grow with the
@@ -329,11 +345,13 @@ def _add_level(train: DataFrame, trie: Trie, level: int, n: int) -> None:
             shorter, totals = reader.base(word_counts(reader, word.astype(np.int64))), word_counts(reader, context[start])
         else:
             shorter, totals = reader.shorter(context, word), np.add.reduceat(counts, start)
-        p = (counts + prior * 10.0**shorter) / (np.repeat(totals, lengths) + prior)
+        context_count = np.repeat(totals, lengths)
+        m = prior.weight(context_count)
+        p = (counts + m * 10.0**shorter) / (context_count + m)
         arrays = coded(values, int(values[-1]) + 1, "words") | coded(pointers.astype(U), len(keys) + 1, "pointers")
         arrays |= {f"logp.{k}": v for k, v in codes(np.log10(p)).items()}
         if level < order:
-            arrays |= {f"left.{k}": v for k, v in codes(np.log10(prior / (counts + prior))).items()}
+            arrays |= {f"left.{k}": v for k, v in codes(prior.left(counts)).items()}
         publish(os.path.join(folder, f"level{level}-{shard:06d}"), to_bytes(arrays))
 
     rows = {r["shard"]: r for r in count_level(train, keys_of, bounds, write)}

@@ -8,7 +8,7 @@ import pytest
 
 from spindrift.llm.elias_fano import Sequence, coded, mapped, to_bytes
 from spindrift.llm.hashing import word_hashes
-from spindrift.llm.ngram_lm import build, fold, op4_ngram_trie, score
+from spindrift.llm.ngram_lm import Prior, build, fold, op4_ngram_trie, score
 
 
 @pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1), (1, 2**64 - 1), (5, 6), (1000, 1000), (20_000, 2**63), (30_000, 45_000), (3000, 2**40)])
@@ -33,7 +33,7 @@ def test_dense_buckets():
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_equal_brute_force(spark, sf, texts, order):
-    docs, prior = spark.read.parquet(f"{sf}/documents.parquet"), 20.0
+    docs, prior = spark.read.parquet(f"{sf}/documents.parquet"), Prior(20.0, 1.5, 0.8)
     trie = build(docs, order=order, prior=prior, shards=5)
     rows = score(docs, trie).collect()
     words = {d: [b"", *(t or "").encode().lower().split(), b""] for d, t in texts.items()}
@@ -52,15 +52,23 @@ def test_scores_equal_brute_force(spark, sf, texts, order):
         if len(g) == 1:
             return (c[0][g[0]] + 0.1) / (total + 0.1 * (distinct + 1))
         context = c[0][g[0]] if len(g) == 2 else followed[g[:2]]
-        return (c[len(g) - 1][g] + prior * p(g[1:])) / (context + prior)
-
+        m = 20.0 + 1.5 * context**0.8
+        return (c[len(g) - 1][g] + m * p(g[1:])) / (context + m)
+
+    steps = [0.0] * 3  # the largest half steps of probabilities and weights, by level
+    for name in os.listdir(trie.folder):
+        level, arrays = int(name[5]), mapped(os.path.join(trie.folder, name))
+        steps[level - 1] = max(steps[level - 1], sum(float(arrays[k][1]) / 2 for k in ("logp.scale", "left.scale") if k in arrays))
+    signed, tokens = 0.0, 0
     for r in rows:
         w = words[r["doc_id"]]
         base = sum(math.log10(p((x,))) for x in w[1:])
         full = sum(math.log10(p(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(1, len(w)))
-        assert r["base_score"] == pytest.approx(base) and abs(r["score"] - full) < 0.02 * len(w)
+        assert r["base_score"] == pytest.approx(base) and abs(r["score"] - full) <= sum(steps) * len(w) + 1e-6
+        signed, tokens = signed + r["score"] - full, tokens + len(w)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) - 1, sum(c[0][x] > 0 for x in w[1:]), total)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+    assert abs(signed) <= 0.001 * tokens  # the codes' errors cancel out
     assert len(os.listdir(trie.folder)) == sum(len(x.bounds) for x in trie.levels)
 
 
