@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -24,23 +25,46 @@ def prepend(old: Column, new: Column, most: int) -> Column:
     return F.when(F.size(new) == 0, old).otherwise(F.slice(F.concat(F.reverse(F.array_distinct(F.array_except(new, old))), old), 1, most))
 
 
-def last_values(rows: DataFrame, by: list[str], value: str, place: str, k: int, out: str) -> DataFrame:
-    """For each key the array of its k values of the largest `place`, the largest first. Groups are cut to k before and after the shuffle."""
-    order = Window.partitionBy(*by).orderBy(F.desc(place), value)
+def end_values(rows: DataFrame, by: list[str], value: str, place: str, k: int, out: str, last: bool = True) -> DataFrame:
+    """For each key the array of its k values of the largest `place`, the largest first, or of the smallest, if not `last`; equals by value. Groups are cut to k before and after the shuffle."""
+    order = Window.partitionBy(*by).orderBy(F.desc(place) if last else F.col(place), value)
     kept = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return kept.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias(out))
 
 
 def recent_distinct(rows: DataFrame, by: list[str], value: str, place: str, most: int, out: str) -> DataFrame:
-    """For each key a first-in first-out list of values in order of `place`: a value in the list is skipped, beyond `most` the oldest leaves, and may come back."""
-    ordered = rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, value))), lambda x: x[value]).alias("all"))
-    kind = rows.schema[value].dataType.simpleString()
+    """For each key a first-in first-out list of values in order of `place`: a value in the list is skipped, beyond `most` the oldest leaves, and may come back.
 
-    def step(kept: Column, x: Column) -> Column:
-        longer = F.concat(kept, F.array(x))
-        return F.when(F.array_contains(kept, x), kept).otherwise(F.slice(longer, F.greatest(F.size(longer) - most + 1, F.lit(1)), most))
-
-    return ordered.select(*by, F.aggregate("all", F.array().cast(f"array<{kind}>"), step).alias(out))
+    A key's rows stream through a task in order, which keeps `most` values of the key it is at, so a history of any length fits.
+    """
+    kept = [*by, value]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), f"`{out}` array<{rows.schema[value].dataType.simpleString()}>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, done, types = None, [], [], None
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:-1], types[:-1], strict=True)), pa.array(columns[-1], pa.list_(types[-1]))], [*by, out])
+
+        for part in batches:
+            types = part.schema.types
+            for *own, x in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if own != key:
+                    if key is not None:
+                        done.append((*key, held))
+                    key, held = own, []
+                    if len(done) >= 10_000:
+                        yield batch()
+                        done = []
+                if x not in held:
+                    held = [*held, x][-most:]
+        if key is not None:
+            done.append((*key, held))
+            yield batch()
+
+    ordered = rows.select(*kept, place).repartition(*by).sortWithinPartitions(*by, place, value)
+    return ordered.select(*kept).mapInArrow(run, schema)
 
 
 @F.pandas_udf(DoubleType())

@@ -36,7 +36,7 @@ def profiles(spark, sf):
     recent = acts.where("item_id IS NOT NULL").groupBy("user_id", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("at"))
     own = common(acts.where("query IS NOT NULL"), "user_id", "query", "event_id", 8, "user_popular_queries")
     own = own.join(common(bought, "user_id", "category", "order_id", 3, "user_top_categories"), "user_id", "left").join(common(bought, "user_id", "supplier", "order_id", 6, "user_top_suppliers"), "user_id", "left")
-    own = own.join(R.last_values(recent, ["user_id"], "item_id", "at", 12, "user_recent_items").withColumn("user_recent_items", F.transform("user_recent_items", lambda x: x.cast("string"))), "user_id", "left")
+    own = own.join(R.end_values(recent, ["user_id"], "item_id", "at", 12, "user_recent_items").withColumn("user_recent_items", F.transform("user_recent_items", lambda x: x.cast("string"))), "user_id", "left")
     orgs = common(bought, "org_id", "category", "order_id", 3, "org_top_categories").join(common(bought, "org_id", "item_id", "order_id", 8, "org_popular_items"), "org_id")
     return own.join(bought.select("user_id", "org_id").distinct(), "user_id", "left").join(orgs, "org_id", "left").drop("org_id")
 

@@ -41,9 +41,7 @@ new AS (SELECT user_id, list(item_id ORDER BY seen_at DESC, item_id)[:6] AS new
 SELECT user_id, array_to_string((list_reverse(list_filter(new, lambda x: NOT list_contains(old, x))) || old)[:12], ',') AS merged FROM old JOIN new USING (user_id)""")
 def profile_merge(spark, sf):
     last = B.event_log(spark, sf).groupBy("user_id", "item_id").agg(F.max("ts").alias("at"))
-    listed = lambda order, n, name: F.slice(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "item_id"))), lambda x: x["item_id"]), 1, n).alias(name)
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    both = last.groupBy("user_id").agg(listed(micros, 8, "old"), listed(-micros, 6, "new"))
+    both = R.end_values(last, ["user_id"], "item_id", "at", 8, "old", last=False).join(R.end_values(last, ["user_id"], "item_id", "at", 6, "new"), "user_id")
     return both.select("user_id", F.array_join(R.prepend(F.col("old"), F.col("new"), 12), ",").alias("merged"))
 
 
@@ -56,7 +54,7 @@ def candidates(spark, sf):
     org = bought.where("user_id = 7").select("org_id").distinct()
     popular = R.most_common(bought.join(F.broadcast(org), "org_id", "left_semi"), ["org_id"], "item_id", "order_id", 8, "popular_items").select("popular_items")
     seen = B.event_log(spark, sf).where("user_id = 7 AND item_id IS NOT NULL").groupBy("user_id", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("at"))
-    recent = R.last_values(seen, ["user_id"], "item_id", "at", 12, "recent_items").select("recent_items")
+    recent = R.end_values(seen, ["user_id"], "item_id", "at", 12, "recent_items").select("recent_items")
     lists = profiles(spark, sf).where("user_id = 7").select("top_categories", "top_suppliers")
     return flags.join(F.broadcast(wanted), "query_id").join(items, "doc_id").join(F.broadcast(lists)).join(F.broadcast(recent)).join(F.broadcast(popular))
 
