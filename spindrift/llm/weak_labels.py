@@ -7,7 +7,8 @@ labeller and class, how often it votes what, as if votes were independent within
 posteriors of a bounded sample of texts (about `sample` rows, by a hash of the text) train a linear scorer over hashed words and beginnings
 of words, by logistic loss, and the scorer judges every text. Only columns whose share differs between the classes by `least_z` standard
 errors, and `least_odds`-fold, get weights: rare words are many, and chance alone ties some to a class. Where there are human labels, texts with neither label nor vote say nothing
-about the class, and the scorer isn't trained on them.
+about the class, and the scorer isn't trained on them. Rows that only labellers call toxic weigh `UNLABELLED` of one with a human label: the
+labellers know few insults, and their many rows would drown the few of other languages.
 
 Two models are made in the same passes: quality (1: natural prose) and toxic (1: insults).
 """
@@ -41,6 +42,8 @@ BUCKETS = 16
 IS_CAPITAL = np.array([chr(i).isupper() for i in range(0x20000)])
 #: Whole words, and their first bytes: each kind has columns of its own.
 PREFIXES = (None, 5, 7)
+#: The weight of a row without a human label in training, where there are such labels, by model.
+UNLABELLED = {"quality": 1.0, "toxic": 0.005}
 
 
 def vote(bad: bool, good: bool) -> int:
@@ -234,10 +237,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     column, sizes = (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array([len(x) for x in parts], np.int64)
     drawn_votes = np.array([[int(x) for x in r["votes"].split()] for r in rows], np.int64).reshape(len(rows), votes.shape[1])
     scorers = []
-    for estimate, (_, part, label, _, _) in zip(estimates, targets, strict=True):
+    for estimate, (name, part, label, _, _) in zip(estimates, targets, strict=True):
         own_votes, given = drawn_votes[:, part], drawn_votes[:, label]
-        use = (given >= 0) | (own_votes >= 0).any(1) if (given >= 0).any() else np.ones(len(given), bool)
-        scorers.append(train(column, sizes, fixed(estimate.posterior(own_votes), given), use.astype(float), features))
+        use = np.where(given >= 0, 1.0, UNLABELLED[name] * (own_votes >= 0).any(1)) if (given >= 0).any() else np.ones(len(given))
+        scorers.append(train(column, sizes, fixed(estimate.posterior(own_votes), given), use, features))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames(batches):

@@ -277,7 +277,7 @@ def test_op3_equals_plain_loops(spark, sf, texts):
     for i, (name, one, rare) in enumerate((("quality", 0.8, 0), ("toxic", 0.05, 1))):
         given = [labels.get(d, (-1, -1))[i] for d in ids]
         free, p = brute_posteriors([g[i] for g in got], given, one, rare)
-        use = [float(given[r] >= 0 or max(got[r][i]) >= 0) for r in drawn]
+        use = [1.0 if given[r] >= 0 else {"quality": 1.0, "toxic": 0.005}[name] * (max(got[r][i]) >= 0) for r in drawn]
         w = brute_scorer([columns[r] for r in drawn], [p[r] for r in drawn], use, features, size)
         for r, d in enumerate(ids):
             assert abs(out[d][f"{name}_posterior"] - free[r]) < 1e-6
