@@ -101,7 +101,7 @@ def rule_score(rows: DataFrame, fuzzy: bool) -> DataFrame:
     for value, _ in parts[1:]:
         total = total + value
     reasons = F.filter(F.array(*[r for _, r in parts]), lambda x: x.isNotNull())
-    out = rows.withColumns({"score": F.round(total, 4), "reasons": F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("baseline_retrieval")))})
+    out = rows.withColumns({"score": F.round(total + 1e-9, 4), "reasons": F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("baseline_retrieval")))})
     return out.drop("__ratio")
 
 

@@ -89,7 +89,7 @@ parts AS (SELECT *, coalesce({TITLE_TIERS.format("0.75::DOUBLE", "0.6::DOUBLE",
     len(list_filter(terms, lambda t: contains(title, t) OR contains(description, t) OR contains(attributes, t))) AS n_terms,
     coalesce(list_contains(top_categories, category), false) AS in_categories, coalesce(list_contains(recent, doc_id), false) AS in_recent, coalesce(list_contains(top_suppliers, supplier), false) AS in_suppliers, coalesce(list_contains(popular, doc_id), false) AS in_popular
   FROM marked, (SELECT * FROM profile WHERE user_id = 7), recent, popular),
-base AS (SELECT *, round(tier + least(n_terms * 0.08::DOUBLE, 0.24::DOUBLE) + least(n_attributes * 0.035::DOUBLE, 0.14::DOUBLE) + CASE WHEN brand_match THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN numeric_match THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN category_match THEN 0.06::DOUBLE ELSE 0 END
+base AS (SELECT *, round(1e-9::DOUBLE + tier + least(n_terms * 0.08::DOUBLE, 0.24::DOUBLE) + least(n_attributes * 0.035::DOUBLE, 0.14::DOUBLE) + CASE WHEN brand_match THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN numeric_match THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN category_match THEN 0.06::DOUBLE ELSE 0 END
   + least(retrieval * 0.55::DOUBLE, 0.55::DOUBLE) + CASE WHEN in_categories THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN in_recent THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN in_suppliers THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN in_popular THEN 0.08::DOUBLE ELSE 0 END, 4) AS score,
   list_filter([tier_reason, CASE WHEN n_terms > 0 THEN 'token_match' END, CASE WHEN n_attributes > 0 THEN 'attribute_match' END, CASE WHEN brand_match THEN 'brand_match' END, CASE WHEN numeric_match THEN 'numeric_constraint_match' END, CASE WHEN category_match THEN 'category_match' END, CASE WHEN retrieval > 0 THEN 'hybrid_retrieval' END,
     CASE WHEN in_categories THEN 'matches_purchase_history' END, CASE WHEN in_recent THEN 'recent_interaction' END, CASE WHEN in_suppliers THEN 'popular_supplier' END, CASE WHEN in_popular THEN 'popular_in_organization' END], lambda x: x IS NOT NULL) AS reasons
