@@ -169,13 +169,18 @@ def train(column: np.ndarray, sizes: np.ndarray, target: np.ndarray, use: np.nda
         return Scorer(features, w)
     one, zero = use * target, use * (1 - target)
     n_one, n_zero = max(1e-9, one.sum()), max(1e-9, zero.sum())
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    in_one, in_zero = np.bincount(column, one[row], n), np.bincount(column, zero[row], n)
+    in_one, in_zero, ends = np.zeros(n), np.zeros(n), np.r_[0, np.cumsum(sizes)]
+    for i in range(0, len(sizes), 1000):  # a thousand texts at a time, to keep the driver's memory small
+        j = min(i + 1000, len(sizes))
+        some = column[ends[i] : ends[j]]
+        in_one += np.bincount(some, np.repeat(one[i:j], sizes[i:j]), n)
+        in_zero += np.bincount(some, np.repeat(zero[i:j], sizes[i:j]), n)
     share = np.clip((in_one + in_zero) / (n_one + n_zero), 1e-9, 1 - 1e-9)
     error = np.sqrt(share * (1 - share) * (1 / n_one + 1 / n_zero))
     odds = np.log((in_one + 0.5) / n_one) - np.log((in_zero + 0.5) / n_zero)
     tied = (np.abs(in_one / n_one - in_zero / n_zero) >= least_z * error) & (np.abs(odds) >= np.log(least_odds))
-    row, column = row[tied[column]], column[tied[column]]
+    kept = tied[column]
+    row, column = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept], column[kept]
     weight = one / n_one + zero / n_zero
     for step in range(1, epochs + 1):
         z = np.bincount(row, w[column], len(target)) + w[-1]
@@ -233,9 +238,11 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
 
     drawn = own.mapInArrow(draw, f"doc_id {id_type}, quality string, toxic string, columns binary")
     rows = with_labels(drawn).select("columns", "votes").dropDuplicates().orderBy(F.xxhash64("columns", "votes"), "columns", "votes").limit(2 * sample).collect()
-    parts = [np.frombuffer(r["columns"], "<i4") for r in rows]
-    column, sizes = (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array([len(x) for x in parts], np.int64)
+    sizes = np.array([len(r["columns"]) // 4 for r in rows], np.int64)
     drawn_votes = np.array([[int(x) for x in r["votes"].split()] for r in rows], np.int64).reshape(len(rows), votes.shape[1])
+    column = np.empty(int(sizes.sum()), np.int32)
+    for end, size in zip(np.cumsum(sizes)[::-1], sizes[::-1], strict=True):  # from the last, so that rows can go as they are copied
+        column[end - size : end] = np.frombuffer(rows.pop()["columns"], "<i4")
     scorers = []
     for estimate, (name, part, label, _, _) in zip(estimates, targets, strict=True):
         own_votes, given = drawn_votes[:, part], drawn_votes[:, label]
