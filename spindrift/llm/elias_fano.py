@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import mmap
+import sys
 
 import numpy as np
 
@@ -151,9 +152,13 @@ def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
     return b"".join([line, *(x for a in arrays.values() for x in (a.tobytes(), b"\0" * (-a.nbytes % 8)))])
 
 
+#: Maps keep no file open, where Python allows it: a worker has more of them than files it may open.
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
 def mapped(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped into memory; nothing is read until it is used."""
     with open(path, "rb") as f:
         line = f.readline()
-        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
     return {name: np.frombuffer(data, dtype, n, len(line) + at) for name, (dtype, n, at) in json.loads(line).items()}

@@ -15,7 +15,9 @@ with the context's count as the number of different words after it does: m = pri
 would only add their counts.
 
 Counting: each task makes keys (context place, word id) of its texts, adds up equal ones, and sends each shard its sorted keys as
-differences, by byte planes. The shards' bounds split even a context that a third of all words follow. Reducers add up and write.
+differences, by byte planes. The shards' bounds split even a context that a third of all words follow. Reducers add up and write. A shard has
+about `SHARD_TOKENS` tokens whatever the size of the scan's partitions, and texts go through in pieces of about `TEXT_BYTES`, so what a
+worker holds doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -32,11 +34,19 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.elias_fano import Sequence, coded, mapped, to_bytes
 from spindrift.llm.hashing import word_hashes
-from spindrift.llm.shared import columns, documents, frames, hold, publish, scan_partitions, shared_folder, strings
+from spindrift.llm.shared import columns, documents, frames, give_back, hold, publish, scan_partitions, shared_folder, strings
 
 U = np.uint64
 #: What stands for the end among the words' hashes.
 END = 0x51ED270B9F1C53A7
+#: Tokens of a shard above level 1; a reducer's arrays are as long.
+SHARD_TOKENS = 1 << 22
+#: Keys that are added up, or looked up, at a time.
+RUN, STEP = 2_000_000, 1 << 18
+#: Bytes of texts that are looked up at a time; the arrays for that take some forty times as much.
+TEXT_BYTES = 4_000_000
+#: Reduce tasks at most; each takes several shards beyond it, one after the other.
+TASKS = 2000
 
 
 def fold(doc_id, folds: int = 10) -> int:
@@ -243,11 +253,21 @@ def by_shard(bounds: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.nda
             yield int(number[order[a]]), order[a:b]
 
 
+def added(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and counts of all parts; equal keys are added up whenever `RUN` more have come."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > RUN:
+            held, size = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))], 0
+    return held[0] if len(held) == 1 else summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+
+
 def count_level(train: DataFrame, keys_of, bounds: np.ndarray, write) -> list:
-    """Rows (shard, n, total) of a level: `keys_of(texts)` gives keys, and `write(shard, keys, counts)` writes a shard of them.
+    """Rows (shard, n, total, cuts) of a level: `keys_of(texts)` gives keys, and `write(shard, keys, counts)` writes a shard of them; what it returns are the cuts.
 
-    Each task adds up its own keys, in runs of a few million, and sends each shard the sorted rest. A shard is written once, by one task;
-    there are as many tasks as shards.
+    Each task adds up its own keys, in runs of a few million, and sends each shard the sorted rest. A shard is written once, by one task.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,35 +275,39 @@ def count_level(train: DataFrame, keys_of, bounds: np.ndarray, write) -> list:
 
         def out():
             keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            held.clear()
             cuts = np.r_[np.searchsorted(keys, bounds), len(keys)]
             some = [i for i in range(len(bounds)) if cuts[i] < cuts[i + 1]]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([planes(keys[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()), pa.array([counts[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes() for i in some], pa.binary())], ["shard", "keys", "counts"])
 
-        for batch in frames(batches):
+        for batch in frames(batches, most_bytes=TEXT_BYTES):
             held.append(summed(keys_of(strings(batch.column(0)))))
             size += len(held[-1][0])
-            if size > 3_000_000:
+            if size > RUN:
                 yield out()
-                held, size = [], 0
+                size = 0
         if held:
             yield out()
 
     def reduce(rows: pa.Table) -> pa.Table:
         shard = rows["shard"][0].as_py()
-        keys, counts = summed(np.concatenate([unplanes(x.as_buffer()) for x in rows["keys"]]), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["counts"]]).astype(np.int64))
+        keys, counts = added((unplanes(k.as_buffer()), np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)) for k, c in zip(rows["keys"], rows["counts"], strict=True))
         del rows
-        write(shard, keys, counts)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+        cuts = write(shard, keys, counts)
+        n, total = len(keys), int(counts.sum())
+        del keys, counts
+        give_back()
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64()), "cuts": pa.array([cuts], pa.binary())})
 
     sent = train.mapInArrow(gather, "shard int, keys binary, counts binary")
-    return sorted(sent.repartition(len(bounds), "shard").groupBy("shard").applyInArrow(reduce, "shard int, n long, total long").collect())
+    return sorted(sent.repartition(min(len(bounds), TASKS), "shard").groupBy("shard").applyInArrow(reduce, "shard int, n long, total long, cuts binary").collect())
 
 
 def build(docs: DataFrame, order: int = 3, prior: Prior = Prior(), id_col: str = "doc_id", text_col: str = "text", folds: int = 10, shards: int | None = None) -> Trie:
     """Train on the whole texts of all rows whose fold isn't 0. Null texts are empty: a text of one end.
 
-    `order` is 1, 2 or 3 and takes as many passes over the texts. Each level has as many shards as the scan has partitions, so a shard's size doesn't grow with the
-    input. What the driver gets is a row for each shard. Keys must fit 64 bits: bits of a level's places and of word ids together.
+    `order` is 1, 2 or 3 and takes as many passes over the texts. Level 1 has as many shards as the scan has partitions, the others have one for about
+    `SHARD_TOKENS` tokens, unless `shards` is given. What the driver gets is a row for each shard. Keys must fit 64 bits: bits of a level's places and of word ids together.
     """
     if order not in (1, 2, 3):
         raise ValueError("order is 1, 2 or 3")
@@ -296,10 +320,11 @@ def build(docs: DataFrame, order: int = 3, prior: Prior = Prior(), id_col: str =
 
     bounds = np.array([(i << 64) // n for i in range(n)], U)
 
-    def write_words(shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
+    def write_words(shard: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
         span = (int(bounds[shard + 1]) if shard + 1 < n else 1 << 64) - int(bounds[shard])
         arrays = coded(keys - bounds[shard], span, "words") | {"counts": counts.astype(np.uint32 if counts.max() < 1 << 32 else U)}
         publish(os.path.join(folder, f"level1-{shard:06d}"), to_bytes(arrays))
+        return b""
 
     rows = {r["shard"]: r for r in count_level(train, lambda texts: token_hashes(texts)[0], bounds, write_words)}
     sizes = [rows[i]["n"] if i in rows else 0 for i in range(n)]
@@ -307,21 +332,24 @@ def build(docs: DataFrame, order: int = 3, prior: Prior = Prior(), id_col: str =
         if i not in rows:
             publish(os.path.join(folder, f"level1-{i:06d}"), to_bytes(coded(np.zeros(0, U), 1, "words") | {"counts": np.zeros(0, np.uint32)}))
     trie = Trie(folder, order, prior, sum(r["total"] for r in rows.values()), sum(sizes), [Level(bounds, np.cumsum([0, *sizes[:-1]]), sum(sizes))])
+    each = -(-trie.total // shards) if shards else SHARD_TOKENS
+    cuts = None
     for level in range(2, order + 1):
-        _add_level(train, trie, level, n)
+        cuts = _add_level(train, trie, level, max(1, each), cuts)
     return trie
 
 
-def _add_level(train: DataFrame, trie: Trie, level: int, n: int) -> None:
+def _add_level(train: DataFrame, trie: Trie, level: int, each: int, places_cut: np.ndarray | None) -> np.ndarray:
+    """Add a level with shards of about `each` tokens, above level 2 from the `places_cut` of the level below; returns the places at which the next one is cut."""
     bits, places = trie.word_bits, trie.levels[-1].size
     if places.bit_length() + bits > 64:
         raise ValueError(f"keys of level {level} need more than 64 bits")
     if not places:
         bounds = np.zeros(1, U)
     elif level == 2:  # as many tokens to each shard: a context's count tells how many follow it, and ids are evenly dealt within it
-        bounds = _even_bounds(trie, n)
-    else:
-        bounds = np.unique(np.array([(places * i // n) << bits for i in range(n)], U))
+        bounds = _even_bounds(trie, -(-trie.total // each))
+    else:  # contexts by their counts; one context isn't split, as its count is the sum of its n-grams'
+        bounds = np.unique(np.r_[0, places_cut].astype(U) << U(bits))
     order, prior, folder = trie.order, trie.prior, trie.folder
 
     def keys_of(texts: list[str]) -> np.ndarray:
@@ -332,7 +360,7 @@ def _add_level(train: DataFrame, trie: Trie, level: int, n: int) -> None:
         ok = context >= 0
         return (context[ok].astype(U) << U(bits)) | got["ids"][ok].astype(U)
 
-    def write(shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
+    def write(shard: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
         reader = Reader.of(trie)
         context, word = (keys >> U(bits)).astype(np.int64), keys & U((1 << bits) - 1)
         first = int(bounds[shard] >> U(bits))
@@ -341,18 +369,24 @@ def _add_level(train: DataFrame, trie: Trie, level: int, n: int) -> None:
         pointers = np.searchsorted(context, np.arange(first, int(context[-1]) + 2))
         spans = word[start + lengths - 1] + U(1)  # what each context adds to the ones after it
         values = word + np.repeat(np.cumsum(spans, dtype=U) - spans, lengths)
-        if level == 2:
-            shorter, totals = reader.base(word_counts(reader, word.astype(np.int64))), word_counts(reader, context[start])
-        else:
-            shorter, totals = reader.shorter(context, word), np.add.reduceat(counts, start)
-        context_count = np.repeat(totals, lengths)
-        m = prior.weight(context_count)
-        p = (counts + m * 10.0**shorter) / (context_count + m)
-        arrays = coded(values, int(values[-1]) + 1, "words") | coded(pointers.astype(U), len(keys) + 1, "pointers")
-        arrays |= {f"logp.{k}": v for k, v in codes(np.log10(p)).items()}
+        totals = word_counts(reader, context[start]) if level == 2 else np.add.reduceat(counts, start)
+        context_count, p = np.repeat(totals, lengths), np.empty(len(keys))
+        for i in range(0, len(keys), STEP):
+            some = slice(i, i + STEP)
+            shorter = reader.base(word_counts(reader, word[some].astype(np.int64))) if level == 2 else reader.shorter(context[some], word[some])
+            m = prior.weight(context_count[some])
+            p[some] = (counts[some] + m * 10.0**shorter) / (context_count[some] + m)
+        del context, word, context_count
+        arrays = coded(values, int(values[-1]) + 1, "words")
+        del values
+        arrays |= coded(pointers.astype(U), len(keys) + 1, "pointers") | {f"logp.{k}": v for k, v in codes(np.log10(p)).items()}
         if level < order:
             arrays |= {f"left.{k}": v for k, v in codes(prior.left(counts)).items()}
         publish(os.path.join(folder, f"level{level}-{shard:06d}"), to_bytes(arrays))
+        if level == order:
+            return b""
+        upto, pieces = np.cumsum(counts), max(1, round(int(counts.sum()) / each))
+        return np.searchsorted(upto, [int(upto[-1]) * i // pieces for i in range(pieces)], "right").astype(np.int64).tobytes()
 
     rows = {r["shard"]: r for r in count_level(train, keys_of, bounds, write)}
     sizes = [rows[i]["n"] if i in rows else 0 for i in range(len(bounds))]
@@ -360,7 +394,9 @@ def _add_level(train: DataFrame, trie: Trie, level: int, n: int) -> None:
     for i in range(len(bounds)):
         if i not in rows:
             publish(os.path.join(folder, f"level{level}-{i:06d}"), to_bytes(empty))
-    trie.levels.append(Level(bounds, np.cumsum([0, *sizes[:-1]]), sum(sizes), (bounds >> U(bits)).astype(np.int64)))
+    level_ = Level(bounds, np.cumsum([0, *sizes[:-1]]), sum(sizes), (bounds >> U(bits)).astype(np.int64))
+    trie.levels.append(level_)
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["cuts"], np.int64) + level_.offsets[i] for i, r in sorted(rows.items()))])
 
 
 def word_counts(reader: Reader, ids: np.ndarray) -> np.ndarray:
@@ -396,7 +432,7 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader.of(trie)
-        for batch in frames(batches):
+        for batch in frames(batches, most_bytes=TEXT_BYTES):
             hashes, sizes = token_hashes(strings(batch.column(1)))
             got = reader.tokens(hashes, sizes, trie.order)
             start = np.cumsum(sizes) - sizes

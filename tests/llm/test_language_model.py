@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from spindrift.llm import ngram_lm
 from spindrift.llm.elias_fano import Sequence, coded, mapped, to_bytes
 from spindrift.llm.hashing import word_hashes
 from spindrift.llm.ngram_lm import Prior, build, fold, op4_ngram_trie, score
@@ -77,6 +78,17 @@ def test_held_out_texts_score_better_than_the_base(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_shards_stay_small_however_few_partitions_there_are(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    want = {r["doc_id"]: r["score"] for r in score(docs, build(docs)).collect()}
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 4000)
+    trie = build(docs)
+    for level in trie.levels[1:]:
+        assert np.diff(np.r_[level.offsets, level.size]).max() <= 8000 < level.size
+    got = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in score(docs, trie).collect()}
+    assert got.keys() == want.keys() and all(abs(x - want[i]) <= 0.02 * n for i, (x, n) in got.items())  # only the codes' steps differ
+
+
 def test_awkward_rows(awkward, nothing):
     trie = build(awkward)
     rows = score(awkward, trie).collect()
