@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,5 +73,37 @@ def test_words_of_any_length_are_corrected(spark, tmp_path):
     assert got == dict(zip(wrong.split(), right.split(), strict=True))
 
 
+def test_near_pairs_equal_plain_edit_distances():
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(r.choice(list("abя😀"), n))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    for size, most in ((2, 1), (4, 1), (8, 2), (12, 3), (300, 3)):
+        left = ["ab" + word(size - 2) for _ in range(30)]
+        right = ["ab" + word(max(1, size - 2 + int(r.integers(-4, 5)))) for _ in range(40)] + [x[:-1] + "b" for x in left[:5]]
+        own, other, distance = S.near_pairs(left, right, 2, most)
+        want = {(i, j): d for i, a in enumerate(left) for j, b in enumerate(right) if (d := plain(a, b)) <= most}
+        assert dict(zip(zip(own.tolist(), other.tolist(), strict=True), distance.tolist(), strict=True)) == want and want
+        kept = S.nearest(own, distance, 2)
+        for i in set(own.tolist()):
+            near = sorted(distance[own == i])[:2]
+            assert sorted(distance[(own == i) & kept]) == [d for d in sorted(distance[own == i]) if d <= near[-1]]
+
+
+def test_spelling_makes_no_row_for_each_pair_of_a_block(spark):
+    tokens = spark.createDataFrame([(f"ab{i:05d}x".translate(str.maketrans("0123456789", "cdefghijkl")),) for i in range(3000)], "token string")
+    vocabulary = tokens.select(F.concat("token", F.lit("yy")).alias("candidate"), F.lit(5).cast("long").alias("freq"))
+    found = S.blocked_candidates(tokens, vocabulary, 2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("distance = 2").count() == 3000
+
+
 def test_dictionary_replaces_whole_words(spark):
     assert one(spark, lambda x: S.dictionary(x, {"принтэр": "принтер", "a.b": "c"}), "принтэр принтэрный") == "принтер принтэрный"
