@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,29 +47,43 @@ def impressions(stream: DataFrame, items: str, most: int = 12) -> DataFrame:
     return stream.select("event_id", "ts", "user_id", F.posexplode(F.slice(items, 1, most)).alias("place", "item_id")).withColumn("place", F.col("place") + 1)
 
 
-def dwell(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Rows user_id, item_id, started_at, dwell_ms: from a user's view of an item to their next event on it. State is a key's open view, dropped when the watermark passes."""
+def dwell(stream: DataFrame, late: str = "1 day", buckets: int = 1024) -> DataFrame:
+    """Rows user_id, item_id, started_at, dwell_ms: from a user's view of an item to their next event on it. State is the open views of a bucket of keys, each dropped a day after it when the watermark passes.
+
+    Keys are dealt to `buckets` by a hash, and all keys of a bucket are handled at once, as a call for each key takes far longer than its rows.
+    """
+    day, none = 86_400_000_000, np.iinfo(np.int64).min  # what stands for no time
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        open_at, out = (pd.Timestamp(state.get[0], unit="us") if state.exists else None), []
-        for at, kind in zip(rows["ts"], rows["event_type"], strict=True):
-            if open_at is not None:
-                out.append((key[0], key[1], open_at, int((at - open_at).total_seconds() * 1000)))
-            open_at = at if kind == "view" else None
-        if open_at is None:
-            if state.exists:
-                state.remove()
+        micros = lambda x: x.to_numpy("datetime64[us]").astype(np.int64)
+        held = np.frombuffer(state.get[0], np.int64).reshape(4, -1) if state.exists else np.zeros((4, 0), np.int64)
+        parts = [] if state.hasTimedOut else [x for x in batches if len(x)]
+        new = pd.concat(parts) if parts else None
+        n = held.shape[1]
+        if new is None:
+            (nobody, users, items, at), is_open, came = held, np.ones(n, bool), np.zeros(n, bool)
         else:
-            state.update((int(open_at.value // 1000),))
-            state.setTimeoutTimestamp(max(int(open_at.value // 1_000_000) + 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "item_id", "started_at", "dwell_ms"])
+            new = new.sort_values(["ts", "event_id"])
+            nobody, users, items, at = (np.r_[old, own] for old, own in zip(held, (new["nobody"].to_numpy(np.int64), new["user_id"].to_numpy(np.int64), new["item_id"].to_numpy(np.int64), micros(new["ts"])), strict=True))
+            is_open, came = np.r_[np.ones(n, bool), (new["event_type"] == "view").to_numpy(bool)], np.r_[np.zeros(n, bool), np.ones(len(new), bool)]
+        order = np.lexsort((items, users, nobody))  # stable: an open view stands before its key's new events
+        nobody, users, items, at, is_open, came = (x[order] for x in (nobody, users, items, at, is_open, came))
+        last = np.r_[(users[1:] != users[:-1]) | (items[1:] != items[:-1]) | (nobody[1:] != nobody[:-1]), np.ones(min(1, len(users)), bool)]
+        ended = np.flatnonzero(is_open & ~last)
+        ended = ended[(at[ended] != none) & (at[ended + 1] != none)]
+        milliseconds = np.trunc((at[ended + 1] - at[ended]) / 1000).astype(np.int64)
+        out = pd.DataFrame({"user_id": pd.arrays.IntegerArray(users[ended].copy(), nobody[ended] > 0), "item_id": items[ended], "started_at": pd.to_datetime(at[ended], unit="us"), "dwell_ms": milliseconds})
+        now = state.getCurrentWatermarkMs() * 1000
+        kept = np.flatnonzero(is_open & last & (at != none) & (came | (at + day >= now)))
+        if len(kept):
+            state.update((np.stack([nobody[kept], users[kept], items[kept], at[kept]]).tobytes(),))
+            state.setTimeoutTimestamp(max(int(at[kept].min() + day) // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield out
 
-    keyed = stream.withWatermark("ts", late).where("item_id IS NOT NULL").groupBy("user_id", "item_id")
-    return keyed.applyInPandasWithState(step, "user_id long, item_id long, started_at timestamp, dwell_ms long", "open_at long", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = stream.withWatermark("ts", late).where("item_id IS NOT NULL").withColumns({"nobody": F.col("user_id").isNull().cast("long"), "user_id": F.coalesce("user_id", F.lit(0).cast("long"))}).withColumn("bucket", F.pmod(F.hash("user_id", "item_id"), F.lit(buckets))).groupBy("bucket")
+    return keyed.applyInPandasWithState(step, "user_id long, item_id long, started_at timestamp, dwell_ms long", "views binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def refined(stream: DataFrame, late: str = "1 day") -> DataFrame:

@@ -33,3 +33,15 @@ def test_ingest_hands_over_batches(spark, sf, tmp_path):
     seen = []
     E.ingest(timed(spark, sf), lambda df, n: seen.append((n, df.count())), str(tmp_path)).awaitTermination()
     assert sum(n for _, n in seen) == table(spark, sf, "events").count()
+
+
+def test_dwell_over_several_batches_and_without_users(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", None, "view", 7), (2, "2024-01-01 00:00:01.001", None, "click", 7), (3, "2024-01-01 00:00:02", 0, "view", 7), (4, "2024-01-01 00:00:05", 0, "view", 7), (5, "2024-01-01 00:00:09", 0, "click", 7)]
+    schema = "event_id long, ts string, user_id long, event_type string, item_id long"
+    for i, part in enumerate((rows[:1] + rows[2:3], rows[1:2] + rows[3:])):
+        spark.createDataFrame(part, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={i}")
+    source = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, item_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    found = E.dwell(source)
+    assert "bucket" in found._jdf.queryExecution().logical().toString()  # a call for each bucket, not for each key
+    got = sorted((-1 if r["user_id"] is None else r["user_id"], r["dwell_ms"]) for r in E.drained(found, str(tmp_path / "out")).collect())
+    assert got == [(-1, 1001), (0, 3000), (0, 4000)]
